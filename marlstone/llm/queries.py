@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from marlstone.llm.decontaminate import op4_decontamination
+from marlstone.llm.linededup import op10_line_dedup
+from marlstone.llm.neardup import op7_near_duplicates
 
 QUERIES = {
     "op4_decontamination": op4_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
