@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
+from marlstone.session import materialise, sized_broadcast, table
 
 #: Test phrases are all windows of so many words; an item with fewer words is one phrase as a whole.
 WINDOW = 13
@@ -25,7 +26,7 @@ WINDOW = 13
 SAMPLE_RATE = 8
 SHARD_SYMBOLS = 1 << 20
 
-SPAN_SCHEMA = "doc_id long, start int, end int, n_words int, items array<long>"
+SPAN_SCHEMA = "doc_id long, text_hash long, start int, end int, n_words int, items array<long>"
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -210,19 +211,24 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     columns of either table are ignored. The test set is gathered to the driver and sent to each task:
     its size does not grow with the corpus.
     """
+    return _spans(docs, benchmark, window, shard_symbols).drop("text_hash")
+
+
+def _spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+    """The spans, with text_hash: xxhash64 of the text that holds them."""
     spark = docs.sparkSession
     items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator()]
     phrases = Phrases(sorted(((-1 if i is None else i), t) for i, t in items), window)
     if not len(phrases.lengths):
         return spark.createDataFrame([], SPAN_SCHEMA)
     shared = spark.sparkContext.broadcast(phrases)
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("items", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("items", pa.list_(pa.int64()))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         pieces: list[np.ndarray] = []
         runs: list[tuple] = []  # row number, first word, length
-        kept: dict[int, tuple] = {}  # the rows with runs: doc_id, text
+        kept: dict[int, tuple] = {}  # the rows with runs: doc_id, hash, text
         size = row = 0
 
         def flush() -> pa.RecordBatch | None:
@@ -239,7 +245,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
                 found.setdefault(r[0], []).append((r[1] + q, r[1] + q + int(p.lengths[w]), w))
             rows = []
             for r in sorted(found):
-                doc, text = kept[r]
+                doc, key, text = kept[r]
                 chars = W.word_spans(text)
                 merged: list[list] = []
                 for s, e, w in sorted(found[r]):
@@ -248,7 +254,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
                         merged[-1][2].update(p.items[w])
                     else:
                         merged.append([s, e, set(p.items[w])])
-                rows += [(doc, chars[s][0], chars[e - 1][1], e - s, sorted(i)) for s, e, i in merged]
+                rows += [(doc, key, chars[s][0], chars[e - 1][1], e - s, sorted(i)) for s, e, i in merged]
             pieces, runs, kept, size = [], [], {}, 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out) if rows else None
 
@@ -264,7 +270,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
                     pieces += [sym[i:j], np.zeros(1, sym.dtype)]
                     runs.append((row + lo + r, i - int(cut[r]), j - i))
                     if row + lo + r not in kept:
-                        kept[row + lo + r] = ids[lo + r].as_py(), texts[lo + r].as_py()
+                        kept[row + lo + r] = ids[lo + r].as_py(), batch.column(2)[lo + r].as_py(), texts[lo + r].as_py()
                     size += j - i + 1
                 if size >= shard_symbols and (r := flush()):
                     yield r
@@ -272,56 +278,44 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
         if r := flush():
             yield r
 
-    return docs.select("doc_id", "text").mapInArrow(search, SPAN_SCHEMA)
-
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(search, SPAN_SCHEMA)
 
-def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without the spans."""
-    if text is None or not spans:
-        return text
-    out, at = [], 0
-    for s, e in sorted(spans):
-        out.append(text[at : max(at, s)])
-        at = max(at, e)
-    return "".join([*out, text[at:]])
 
+def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The columns of documents with the spans (doc_id, text_hash, start, end) cut out, and ``_cut``: whether any were.
 
-def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the spans (doc_id, start, end); a text that loses some gets a new n_chars.
-
-    Rows without spans, also those with a null doc_id, come out as they are. The columns are those of
-    documents. If rows share a doc_id, each loses the spans found under that doc_id that lie in it.
-    The spans by document are broadcast where their size is small, else joined by doc_id.
+    A text that loses a span gets a new n_chars. Spans apply to the rows with their doc_id and text.
+    Spans are broadcast where their size is small, else joined by doc_id.
     """
-    from marlstone.session import materialise, sized_broadcast
-
     spark = docs.sparkSession
-    by = spans.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    by = materialise(spark, by, "spans")
+    by = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    by = materialise(spark, by, "spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    joined = base.join(sized_broadcast(by, 120), "doc_id", "left")
-    return apply_cuts(joined)
-
-
-def apply_cuts(joined: DataFrame) -> DataFrame:
-    """Cut the character spans in ``_spans`` (sorted, start and end) out of ``text``, inside the JVM."""
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    joined = base.join(sized_broadcast(by, 120), on, "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
         begin = F.greatest(acc["at"], s["start"])
-        return F.struct(
-            F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, begin - acc["at"])).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+        out = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, begin - acc["at"]))
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     done = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
-    n = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return joined.withColumn("_text", text).select("doc_id", F.col("_text").alias("text"), "lang", "source", n.alias("n_chars"))
+    cut = F.col("_spans").isNotNull()
+    joined = joined.withColumn("_text", F.when(cut, done).otherwise(F.col("text")))
+    n = F.when(cut, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+    return joined.select("doc_id", F.col("_text").alias("text"), "lang", "source", n.alias("n_chars"), cut.alias("_cut"))
+
+
+def remove_phrases(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the spans that ``find_spans`` finds, with n_chars made to fit; columns of documents.
+
+    Rows without spans come out as they are, null and empty texts too. Rows with a null doc_id are matched
+    by their text.
+    """
+    return cut_spans(docs, _spans(docs, benchmark)).drop("_cut")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark spans in all documents."""
-    from marlstone.session import table
-
     return find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

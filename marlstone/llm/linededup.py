@@ -19,21 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
-from marlstone.llm.decontaminate import apply_cuts
+from marlstone.llm.decontaminate import cut_spans
 from marlstone.llm.neardup import packed_by_bucket
 from marlstone.session import materialise, sized_broadcast, table
 
-LINE_WORDS = 4
+LINE_WORDS = 3
 CHUNK_LINES = 2
 #: Words that a repeated run has at least, to be removed.
 MIN_WORDS = 50
-#: Runs are compared if their matched chunks hold so many words; the rest of a passage lies in the
-#: partial chunks at its ends, that the comparison adds.
-SEED_WORDS = 10
+#: Runs of matched chunks are compared if they hold so many words. The ends of a passage lie in partial
+#: chunks (6 words on average) that the comparison adds, so runs stay shorter than their passage.
+SEED_WORDS = 14
 #: Bytes of context around a run that the comparison may add on either side.
-CONTEXT = 1024
+CONTEXT = 320
 
-OCCURRENCE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4"), ("word", "<i4"), ("words", "<i4")])
+PLACE = (("doc", np.int64), ("start", np.int32), ("end", np.int32), ("word", np.int32), ("words", np.int32))
 SPANS = "doc_id long, start int, end int, n_words int, first_doc_id long"
 
 
@@ -68,23 +68,22 @@ def chunk_block(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _spread(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), *((n, pa.binary()) for n, _ in PLACE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, size = [], [], 0
+        held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = packed_by_bucket(buckets, np.concatenate(keys), np.concatenate(places))
-            keys.clear(), places.clear()
+            rows = packed_by_bucket(buckets, *(np.concatenate(c) for c in zip(*held)))
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _hi, buf, off in W.blocks(batch.column(1), lower=False):
                 h, row, span, word = chunk_block(buf, off)
-                o = np.empty(len(h), OCCURRENCE)
-                o["doc"], o["start"], o["end"], o["word"], o["words"] = ids[lo + row], span[:, 0], span[:, 1], word[:, 0], word[:, 1]
-                keys.append(h), places.append(o)
+                held.append((h, ids[lo + row], *(x.astype(np.int32) for x in (span[:, 0], span[:, 1] - span[:, 0], word[:, 0], word[:, 1]))))
                 size += len(h)
             if size >= 1_000_000:
                 yield flush()
@@ -97,54 +96,58 @@ def _spread(buckets: int):
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences after the first of each chunk hash, with the place of the first."""
-    keys, places = [], []
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(PLACE) + 1)]
     for batch in batches:
-        keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-        places += [np.frombuffer(x, OCCURRENCE) for x in batch.column(2).to_pylist()]
-    if not keys:
+        for i, kind in enumerate((np.uint64, *(t for _, t in PLACE))):
+            parts[i] += [np.frombuffer(x, kind) for x in batch.column(i + 1).to_pylist()]
+    if not parts[0]:
         return
-    key, place = np.concatenate(keys), np.concatenate(places)
+    key, *place = map(np.concatenate, parts)
     order = np.argsort(key)
     key = key[order]
     same = key[1:] == key[:-1]
     hit = np.append(same, False) | np.insert(same, 0, False)
-    key, place = key[hit], place[order[hit]]
-    order = np.lexsort((place["start"], place["doc"], key))
-    key, place = key[order], place[order]
-    first = np.insert(key[1:] != key[:-1], 0, True) if len(key) else np.empty(0, bool)
+    key, place = key[hit], [c[order[hit]] for c in place]
+    if not len(key):
+        return
+    order = np.lexsort((place[1], place[0], key))
+    key, place = key[order], [c[order] for c in place]
+    first = np.insert(key[1:] != key[:-1], 0, True)
     at = np.flatnonzero(first)[np.cumsum(first) - 1]
-    a, b = place[at][~first], place[~first]
-    if len(b):
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(b[c])) for c in OCCURRENCE.names), pa.array(np.ascontiguousarray(a["doc"])), pa.array(np.ascontiguousarray(a["start"]))], names=[*OCCURRENCE.names, "first_doc", "first_start"])
+    doc, start = place[0][at], place[1][at]
+    later = (place[0] != doc) | (place[1] != start)  # repeated rows give equal places: one document
+    if later.any():
+        place[2] = place[1] + place[2]
+        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (*place, doc, start)], names=[*(n for n, _ in PLACE), "first_doc", "first_start"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of consecutive chunks that match consecutive chunks of one document, one or more words apart."""
+    """Runs of consecutive chunks that match consecutive chunks of one document."""
     table_ = pa.Table.from_batches(list(batches))
     if not len(table_):
         return
     c = {n: table_.column(n).to_numpy() for n in table_.column_names}
     doc, start, end, word, n = c["doc"], c["start"], c["end"], c["word"], c["words"]
-    next_ = (doc[1:] == doc[:-1]) & (word[1:] == word[:-1] + n[:-1])
-    along = next_ & (c["first_doc"][1:] == c["first_doc"][:-1]) & (start[1:] - c["first_start"][1:] == start[:-1] - c["first_start"][:-1])
-    new = np.insert(~along, 0, True)
-    group = np.cumsum(np.insert(~next_, 0, True)) - 1  # neighbours, wherever they match
-    held = np.bincount(group, n)[group]
-    s = np.flatnonzero(new)
+    along = (doc[1:] == doc[:-1]) & (word[1:] == word[:-1] + n[:-1]) & (c["first_doc"][1:] == c["first_doc"][:-1]) & (start[1:] - c["first_start"][1:] == start[:-1] - c["first_start"][:-1])
+    s = np.flatnonzero(np.insert(~along, 0, True))
     e = np.append(s[1:], len(doc)) - 1
-    keep = held[s] >= SEED_WORDS
+    w0, w1 = word[s], word[e] + n[e]
+    keep = w1 - w0 >= SEED_WORDS
     s, e = s[keep], e[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[s], start[s], end[e], c["first_doc"][s], c["first_start"][s])], names=["doc", "start", "end", "first_doc", "first_start"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[s], start[s], end[e], w0[keep], w1[keep], c["first_doc"][s], c["first_start"][s])], names=["doc", "start", "end", "w0", "w1", "first_doc", "first_start"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted span, with the context on either side."""
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.binary()), ("mid", pa.binary()), ("after", pa.binary())])
+    """The bytes of each wanted span, with the context on either side, keyed by the run that wants it."""
+    schema = pa.schema([*((n, pa.int64() if "doc" in n else pa.int32()) for n in ("doc", "start", "first_doc", "first_start", "w0", "w1")), ("chars", pa.int32()), ("text_hash", pa.int64()), ("before", pa.binary()), ("mid", pa.binary()), ("after", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for key, text, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = text.encode()
-            rows += [(doc, w["start"], w["end"], raw[max(0, w["start"] - CONTEXT) : w["start"]], raw[w["start"] : w["end"]], raw[w["end"] : w["end"] + CONTEXT]) for w in wants]
+            for w in wants:
+                s, e = w["at"], w["to"]
+                chars = len(raw[:s].decode(errors="ignore")) if w["w1"] >= 0 else -1
+                rows.append((w["doc"], w["start"], w["first_doc"], w["first_start"], w["w0"], w["w1"], chars, key, raw[max(0, s - CONTEXT) : s], raw[s:e], raw[e : e + CONTEXT]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -170,39 +173,81 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return k
 
 
+def _chars(raw: bytes) -> int:
+    """Characters of bytes cut at words, that is, at whole characters."""
+    return len(raw.decode(errors="ignore"))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, start, end, first_doc) in bytes for runs whose bytes are those of the first occurrence, extended."""
-    names = ["doc", "start", "end", "first_doc", "b0", "b1", "b2", "a0", "a1", "a2"]
+    """Runs whose bytes are those of the first occurrence, extended over the equal words around them.
+
+    The rows of a run stand together: those of the first occurrence have w1 -1 and come first.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    now, firsts = None, []
     for batch in batches:
         out: list[tuple] = []
-        for doc, s, e, first, b0, b1, b2, a0, a1, a2 in zip(*(batch.column(n).to_pylist() for n in names)):
-            if a1 == b1:
-                out.append((doc, s - common_suffix(a0, b0), e + common_prefix(a2, b2), first))
+        for doc, s, first, fs, w0, w1, chars, key, before, mid, after in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (doc, s, first, fs):
+                now, firsts = (doc, s, first, fs), []
+            if w1 < 0:
+                firsts.append((before, mid, after))
+                continue
+            for f0, f1, f2 in firsts:
+                if f1 == mid:
+                    left = before[len(before) - common_suffix(f0, before) :]
+                    right = after[: common_prefix(f2, after)]
+                    begin = chars - _chars(left)
+                    out.append((doc, key, begin, chars + _chars(mid + right), w0 - len(left.split()), w1 + len(right.split()), first))
+                    break
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc", "start", "end", "first_doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc", "text_hash", "start", "end", "w0", "w1", "first_doc"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a document's spans, those with enough words, in characters of its text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())])
+    """Unite the spans of a document that overlap or adjoin in words; those with enough words remain."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    now: list | None = None
+
+    def closed(x: list | None) -> list[tuple]:
+        return [(x[0], x[1], x[2], x[3], x[5] - x[4], x[6])] if x and x[5] - x[4] >= MIN_WORDS else []
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id"])
+
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = text.encode()
-            merged: list[list] = []
-            for x in sorted((x["start"], x["end"], x["first_doc"]) for x in spans):
-                if merged and (x[0] <= merged[-1][1] or raw[merged[-1][1] : x[0]].isspace()):
-                    merged[-1][1] = max(merged[-1][1], x[1])
-                    merged[-1][2] = min(merged[-1][2], x[2])
-                else:
-                    merged.append(list(x))
-            for s, e, first in merged:
-                n = len(raw[s:e].split())
-                if n >= MIN_WORDS:
-                    at = len(raw[:s].decode(errors="ignore"))
-                    rows.append((doc, at, at + len(raw[s:e].decode(errors="ignore")), n, first))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        out: list[tuple] = []
+        for x in map(list, zip(*(c.to_pylist() for c in batch.columns))):
+            if now and x[:2] == now[:2] and x[4] <= now[5]:
+                now[3], now[5], now[6] = max(now[3], x[3]), max(now[5], x[5]), min(now[6], x[6])
+            else:
+                out += closed(now)
+                now = x
+        if out:
+            yield batch_of(out)
+    if rows := closed(now):
+        yield batch_of(rows)
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (of the text that holds the span), start, end, n_words, first_doc_id."""
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = texts.mapInArrow(_spread(buckets), "bucket int, keys binary, " + ", ".join(f"{n} binary" for n, _ in PLACE))
+    repeats = spread.repartition("bucket").mapInArrow(_repeats, "doc long, start int, end int, word int, words int, first_doc long, first_start int")
+    repeats = repeats.repartition("doc").sortWithinPartitions("doc", "start")
+    runs = materialise(spark, repeats.mapInArrow(_runs, "doc long, start int, end int, w0 int, w1 int, first_doc long, first_start int"), "runs")
+    key = ["doc", "start", "first_doc", "first_start"]
+    mine = runs.select(F.col("doc").alias("doc_id"), F.struct(*key, "w0", "w1", F.col("start").alias("at"), F.col("end").alias("to")).alias("want"))
+    theirs = runs.select(F.col("first_doc").alias("doc_id"), F.struct(*key, F.lit(0).alias("w0"), F.lit(-1).alias("w1"), F.col("first_start").alias("at"), F.expr("first_start + end - start").alias("to")).alias("want"))
+    wants = mine.unionByName(theirs).groupBy("doc_id").agg(F.collect_list("want").alias("wants"))
+    ids = runs.select(F.explode(F.array("doc", "first_doc")).alias("doc_id")).distinct()
+    affected = texts.join(sized_broadcast(materialise(spark, ids, "ids"), 16), "doc_id", "left_semi").join(wants, "doc_id")
+    slices = affected.select(F.xxhash64("text").alias("text_hash"), "text", "wants").mapInArrow(_slices, "doc long, start int, first_doc long, first_start int, w0 int, w1 int, chars int, text_hash long, before binary, mid binary, after binary")
+    pairs = slices.repartition(*key).sortWithinPartitions(*key, "w1")
+    same = pairs.mapInArrow(_compare, "doc long, text_hash long, start int, end int, w0 int, w1 int, first_doc long")
+    return same.repartition("doc").sortWithinPartitions("doc", "text_hash", "w0").mapInArrow(_merge, "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -210,31 +255,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     start and end are character offsets. The first occurrence, by doc_id and place, is not in the
     result and stays. Repeats within one document count as well. Null and empty texts and rows with a
-    null doc_id have no spans. Of rows that share a doc_id, one stands for all (the one with the greatest
-    text); repeated rows are therefore one document here. Further columns are ignored; an empty
-    table gives an empty result.
+    null doc_id have no spans. Repeated rows (equal doc_id and text) count as one document and do not
+    repeat each other; rows that share a doc_id but not the text each have the spans found in them.
+    Further columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.mapInArrow(_spread(buckets), "bucket int, keys binary, places binary")
-    repeats = spread.repartition("bucket").mapInArrow(_repeats, "doc long, start int, end int, word int, words int, first_doc long, first_start int")
-    repeats = repeats.where("doc <> first_doc or start >= first_start").repartition("doc").sortWithinPartitions("doc", "start")
-    runs = materialise(spark, repeats.mapInArrow(_runs, "doc long, start int, end int, first_doc long, first_start int"), "runs")
-    source = runs.withColumn("first_end", F.expr("first_start + end - start"))
-    wants = source.select("doc", "start", "end").union(source.select("first_doc", "first_start", "first_end")).distinct()
-    wants = wants.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("wants")).withColumnRenamed("doc", "doc_id")
-    wants = materialise(spark, wants, "wants")
-    affected = texts.join(sized_broadcast(wants, 80), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("wants").alias("wants"))
-    affected = materialise(spark, affected, "affected")
-    slices = affected.mapInArrow(_slices, "doc long, start int, end int, before binary, mid binary, after binary")
-    slices = materialise(spark, slices, "slices")
-    b = slices.toDF("doc", "start", "end", "b0", "b1", "b2")
-    a = slices.toDF("first_doc", "first_start", "first_end", "a0", "a1", "a2")
-    pairs = source.join(b, ["doc", "start", "end"]).join(a, ["first_doc", "first_start", "first_end"])
-    same = pairs.mapInArrow(_compare, "doc long, start int, end int, first_doc long")
-    same = same.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "end", "first_doc")).alias("spans"))
-    return affected.select("doc_id", "text").join(same, "doc_id").mapInArrow(_merge, SPANS)
+    return _spans(docs).select("doc_id", "start", "end", "n_words", "first_doc_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -243,14 +268,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A text that nothing but white space is left of goes, since all of it stands in other documents.
     Rows without spans, also null, empty and wordless ones, come out as they are.
     """
-    spark = docs.sparkSession
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    spans = materialise(spark, spans, "spans")
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    joined = base.join(sized_broadcast(spans, 120), "doc_id", "left")
-    whole = F.col("_spans").isNull()
-    cut = apply_cuts(joined.where(~whole)).where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
-    return joined.where(whole).drop("_spans").select(*base.columns).unionByName(cut)
+    found = cut_spans(docs, _spans(docs))
+    return found.where(~F.col("_cut") | F.col("text").rlike(r"\S")).drop("_cut")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
