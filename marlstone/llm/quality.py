@@ -23,10 +23,13 @@ from marlstone.session import table
 SAMPLE_PER_CLASS = 3000
 PAIRS = 40_000
 MIN_DOCS = 5
-#: Words enter the features if their class frequencies differ by so many standard errors, these at most.
-MIN_Z, MAX_WORDS = 4.0, 1500
-STEPS, L2, RATE = 250, 1e-4, 0.08
+#: Words enter the features if they are commoner in bad texts by so many standard errors, and that share of
+#: their class frequencies is bad: words of ordinary prose would only measure a text's length.
+MIN_Z, MIN_BAD, MAX_WORDS = 4.0, 0.8, 1500
+STEPS, L2, RATE = 300, 1e-4, 0.1
 BINS = 8
+#: Bins of the number of such words in a text.
+HITS = (0.5, 1.5, 2.5, 4.5)
 #: Half the width, in ranks, of the gap around the quantile in whose middle the threshold lies.
 RANK_GAP = 0.002
 
@@ -58,13 +61,15 @@ class Scorer:
         self.words, self.edges, self.bins = words, edges, bins
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        stats = np.empty((len(texts), len(STATS)))
+        stats = np.empty((len(texts), len(STATS) + 1))
         out = np.zeros(len(texts))
         known = self.words
         keys = known.keys()
         for i, t in enumerate(texts):
-            words, stats[i] = words_and_stats(t)
-            out[i] = sum(known[w] for w in sorted(keys & words))
+            words, stats[i, :-1] = words_and_stats(t)
+            found = sorted(keys & words)
+            stats[i, -1] = len(found)
+            out[i] = sum(known[w] for w in found)
         for c, (edges, bins) in enumerate(zip(self.edges, self.bins)):
             out += bins[np.searchsorted(edges, stats[:, c], side="right")]
         return out
@@ -88,7 +93,7 @@ def draw(marked: DataFrame, docs: DataFrame, per_class: int) -> list[tuple[int,
 
 
 def select_words(sets: list[set[str]], y: np.ndarray, min_docs: int = MIN_DOCS) -> list[str]:
-    """The words whose document frequencies differ most between the classes."""
+    """The words whose document frequencies speak most for the bad class."""
     count: dict[str, list[int]] = {}
     for words, g in zip(sets, y):
         for w in words:
@@ -100,7 +105,8 @@ def select_words(sets: list[set[str]], y: np.ndarray, min_docs: int = MIN_DOCS)
     f = np.array([count[w] for w in names], float)
     p = f / n
     q = f.sum(axis=1) / n.sum()
-    z = np.abs(p[:, 1] - p[:, 0]) / np.sqrt(np.maximum(q * (1 - q), 1e-9) * (1 / n).sum())
+    z = (p[:, 0] - p[:, 1]) / np.sqrt(np.maximum(q * (1 - q), 1e-9) * (1 / n).sum())
+    z[p[:, 0] < MIN_BAD * p.sum(axis=1)] = 0
     best = [i for i in np.argsort(-z, kind="stable")[:MAX_WORDS] if z[i] >= MIN_Z]
     return [names[i] for i in sorted(best)]
 
@@ -126,12 +132,14 @@ def fit(sample: list[tuple[int, str]]) -> Scorer:
     """A scorer from (good, text) rows; all scores are 0 if there are no pairs."""
     y = np.array([g for g, _ in sample], np.int64)
     if not len(y) or y.min() == y.max():
-        return Scorer({}, [np.empty(0)] * len(STATS), [np.zeros(1)] * len(STATS))
+        return Scorer({}, [], [])
     sets, stats = zip(*(words_and_stats(t) for _, t in sample))
     names = select_words(list(sets), y)
     number = {w: k for k, w in enumerate(names)}
-    st = np.array(stats)
-    edges = [np.unique(np.quantile(st[:, c], np.linspace(0, 1, BINS + 1)[1:-1])) for c in range(st.shape[1])]
+    hits = np.array([sum(w in number for w in words) for words in sets], float)
+    st = np.column_stack([np.array(stats), hits])
+    edges = [np.unique(np.quantile(st[:, c], np.linspace(0, 1, BINS + 1)[1:-1])) for c in range(len(STATS))]
+    edges.append(np.array(HITS))
     width = [len(e) + 1 for e in edges]
     x = np.zeros((len(y), len(names) + sum(width)), np.float32)
     for r, words in enumerate(sets):
