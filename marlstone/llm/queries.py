@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marlstone.llm.decontaminate import op4_decontamination
 from marlstone.llm.licenses import op2_license_scan
 from marlstone.llm.linededup import op10_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
