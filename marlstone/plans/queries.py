@@ -1 +1,312 @@
-QUERIES: dict = {}
+"""The engine's operators as queries over the bundled tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as X
+from marlstone.operators import configuration, dependencies, quality, search
+from marlstone.session import table
+
+KINDS = ("context", "usage", "docs", "example", "source", "configuration")
+QUERY = "Licensed under-the Apache"
+LIMIT = 5
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as indexed chunks: source is the repository, the kind follows doc_id."""
+    d = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    return d.select(
+        F.col("doc_id").alias("source_id"), F.col("source").alias("repository"), F.concat(F.lit(":"), F.col("lang")).alias("module"),
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), kind.alias("kind"), F.col("lang").alias("language"),
+        F.substring(F.sha2(F.concat("source", "lang"), 256), 1, 40).alias("commit_sha"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"),
+        F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"),
+    )
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as catalog aliases."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), F.lit("-"), F.col("p_partkey").cast("string"))
+    return p.select(
+        F.col("p_brand").alias("catalog_repository"), F.col("p_type").alias("catalog_path"), name.alias("alias"), X.accessor(name).alias("accessor"),
+        F.col("p_brand").alias("group_id"), F.lower("p_name").alias("artifact_id"), F.col("p_partkey").alias("key"),
+    )
+
+
+def repo_inventory(spark, sf_dir):
+    return quality.inventory(chunks(spark, sf_dir))
+
+
+def chunk_kind_counts(spark, sf_dir):
+    return chunks(spark, sf_dir).groupBy("kind", X.kind_priority("kind").alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("repository").alias("repositories"))
+
+
+def dup_groups(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return c.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("source_id").alias("first_id")).where("n > 1")
+
+
+def dup_excess(spark, sf_dir):
+    return quality.duplicates(chunks(spark, sf_dir))
+
+
+def token_stats(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("dl", F.size(X.tokens("content")))
+    return c.groupBy("language").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("tokens"), F.max("dl").alias("longest"), F.round(F.avg("dl"), 6).alias("avgdl"))
+
+
+def doc_freq(spark, sf_dir):
+    t = chunks(spark, sf_dir).select(F.explode(F.array_distinct(X.tokens("content"))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+
+
+def bm25_top(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    best = search.search(c, {0: QUERY}, LIMIT, fields=("content",))
+    return best.select("position", "source_id", "repository", "kind", F.round("rank", 6).alias("score"))
+
+
+def bm25_scores(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    scores = search.bm25(c, search.query_terms(spark, {0: QUERY}), fields=("content",))
+    return scores.select("source_id", F.round("rank", 6).alias("score"))
+
+
+def phrase_match(spark, sf_dir):
+    terms = search.query_terms(spark, {0: "general-public-license", 1: "version-2", 2: "on-the on"})
+    return search.matches(chunks(spark, sf_dir), terms, fields=("content",)).select("query_id", "source_id")
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4), " ").alias("query"))
+
+
+def bm25_batch(spark, sf_dir):
+    """Top results of every benchmark item's first words, all items in one job."""
+    c = chunks(spark, sf_dir)
+    terms = search.term_columns(_cases(spark, sf_dir))
+    best = search.ranked(c, search.bm25(c, terms, fields=("content",)), LIMIT)
+    return best.select("query_id", "position", "source_id", F.round("rank", 6).alias("score"))
+
+
+def recall_mrr(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    terms = search.term_columns(_cases(spark, sf_dir))
+    best = search.ranked(c, search.bm25(c, terms, fields=("content",)), LIMIT).select("query_id", "position", "path")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    first = search.term_columns(items.select("query_id", F.col("passage").alias("query")))
+    # documents that hold all words of a passage, then the passage itself
+    words = first.groupBy("query_id", "term").agg(F.lit(1).alias("one"))
+    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
+    have = c.select("path", F.explode(F.array_distinct(X.tokens("content"))).alias("term")).join(F.broadcast(words), "term").groupBy("query_id", "path").agg(F.count("*").alias("have"))
+    close = have.join(F.broadcast(need), "query_id").where("have = need").select("query_id", "path")
+    expected = close.join(c.select("path", "content"), "path").join(F.broadcast(items), "query_id").where(F.contains("content", "passage")).select("query_id", "path")
+    cases = expected.select("query_id").distinct().withColumn("expect_no_results", F.lit(False))
+    return quality.retrieval_metrics(best, expected, cases)
+
+
+def greedy_dedup_top(spark, sf_dir):
+    """Greedy de-duplication by content or (repository, language) over the longest documents."""
+    d = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(LIMIT * search.OVERFETCH)
+    row = F.struct((-F.col("n_chars")).alias("k"), "doc_id", F.sha2("text", 256).alias("h"), F.concat_ws("|", "source", "lang").alias("s"))
+    rows = d.agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kept = rows.select(F.posexplode(search.greedy(F.col("rows"), "h", "s", 10)).alias("position", "r"))
+    return kept.select((F.col("position") + 1).alias("position"), "r.doc_id", F.col("r.s").alias("source_key"))
+
+
+def html_clean(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("clean", F.trim(F.regexp_replace(X.clean_html("html"), r"\s+", " ")))
+    return p.select("page_id", F.sha2("clean", 256).alias("text_hash"), F.length("clean").alias("n_chars"))
+
+
+def html_gate(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.agg(F.count("*").alias("pages"), F.count_if(quality.raw_html("html")).alias("raw"), F.count_if(quality.raw_html(X.clean_html("html"))).alias("raw_after_cleaning"))
+
+
+def redact_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    red = X.redact_lines(F.regexp_replace("text", r"[.,]? ([A-Za-z_]+ = )", "\n$1"))
+    return d.select("doc_id", F.sha2(red, 256).alias("text_hash"), F.size(F.filter(F.split(red, "\n"), lambda s: F.contains(s, F.lit("<redacted>")))).alias("redacted")).where("redacted > 0")
+
+
+def secret_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.regexp_replace("text", r"[.,]? ([A-Za-z_]+ = )", "\n$1"))
+    return d.agg(F.count_if(F.size(X.secret_lines("lines")) > 0).alias("leaks"), F.count_if(F.size(X.secret_lines(X.redact_lines("lines"))) > 0).alias("leaks_after_redaction"))
+
+
+def title_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.regexp_replace("text", r"^", "# ")
+    return d.select("doc_id", X.title(F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("title"))
+
+
+def kind_case(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^[a-z]+://[^/]+/|[?#].*$", "").alias("path"), F.col("page_id"))
+    language = F.when(F.col("page_id") % 3 == 0, "yaml").when(F.col("page_id") % 3 == 1, "html").otherwise("kotlin")
+    path = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("latest/"), F.col("path"))).otherwise(F.col("path"))
+    return p.select(X.content_kind(path, language).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def heading_split(spark, sf_dir):
+    """Conversations as texts with a heading at each user turn, cut at the headings."""
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    s = c.withColumn("section", F.count_if(F.col("role") == "user").over(w))
+    out = s.groupBy("conv_id", "section").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("turns"))
+    return out.where("n_chars >= 80").select("conv_id", "section", "n_chars", "turns")
+
+
+def short_chunk_filter(spark, sf_dir):
+    """Chunks are numbered before the short ones go, so numbers keep their gaps."""
+    c = table(spark, sf_dir, "conversations")
+    n = c.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    return n.where(F.length("text") >= 40).select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), F.sha2("text", 256).alias("content_hash"))
+
+
+def turn_ranges(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    lines = F.size(F.split("text", "\n"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    end = F.sum(lines).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return c.select("conv_id", "turn", (end - lines + 1).alias("line_start"), end.alias("line_end"))
+
+
+def json_leaves(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    leaf = F.explode(F.from_json("props", "map<string,string>")).alias("key_path", "value")
+    return e.select("event_type", leaf).groupBy("event_type", "key_path").agg(F.count("*").alias("n"), F.min(F.col("value").cast("long")).alias("least"), F.max(F.col("value").cast("long")).alias("greatest"))
+
+
+def layered_resolve(spark, sf_dir):
+    """The strongest layer's latest value of each user's key; event types are the layers."""
+    e = table(spark, sf_dir, "events")
+    rank = F.expr("CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END")
+    rows = e.select(F.col("user_id"), F.explode(F.from_json("props", "map<string,string>")).alias("key_path", "value_json"), F.col("event_type").alias("layer"), F.lit("").alias("profile"), F.col("event_id").alias("source_id"), F.date_format("ts", "yyyyMMddHHmmss").alias("path"))
+    return configuration.strongest(rows, ["user_id", "key_path"], F.expr("CASE layer WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END")).select("user_id", "key_path", "value_json", "layer", "source_id")
+
+
+def config_four_layers(spark, sf_dir):
+    """resolve() with a profile over events as configuration values."""
+    e = table(spark, sf_dir, "events")
+    v = e.select(
+        F.when(F.col("event_type").isin("view", "click"), "central").otherwise("module").alias("layer"),
+        F.when(F.col("event_type").isin("click", "purchase", "error"), "prod").otherwise("").alias("profile"),
+        F.concat(F.lit("app"), (F.col("user_id") % 3).cast("string")).alias("repository"), F.lit(":").alias("module"),
+        F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("set"), (F.col("user_id") % 2).cast("string"))).otherwise("").alias("configuration_set"),
+        F.concat(F.lit("key."), (F.col("user_id") % 97).cast("string")).alias("key_path"), F.col("event_id").cast("string").alias("value_json"),
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), F.col("event_id").cast("string").alias("source_id"),
+    )
+    return configuration.resolve(v, "app1", "set0", "prod").select("key_path", "value_json", "layer", "profile")
+
+
+def alias_usage_join(spark, sf_dir):
+    u = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_suppkey")
+    j = u.join(aliases(spark, sf_dir), "key")
+    return j.groupBy("catalog_repository").agg(F.count("*").alias("usages"), F.countDistinct("key").alias("aliases"), F.countDistinct("l_suppkey").alias("consumers"))
+
+
+def usage_budget(spark, sf_dir):
+    """The first 20 usages, shared in order by the aliases that match a request."""
+    a = dependencies.matching(aliases(spark, sf_dir).withColumns({"owner_repository": F.lit(""), "owner_module": F.lit("")}), "Brand#1 library")
+    u = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"))
+    return a.join(u, "key").select("alias", "order_key", "line").orderBy("alias", "order_key", "line").limit(20)
+
+
+def orphan_usages(spark, sf_dir):
+    u = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    known = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    return u.join(known, "l_partkey", "left_anti").groupBy("l_partkey").agg(F.count("*").alias("orphans"))
+
+
+def owner_resolve(spark, sf_dir):
+    """Owners of nations among suppliers and customers: suppliers have the higher priority."""
+    n = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("repository"), F.lit("supplier").alias("module"), F.lit(3).alias("priority"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("repository"), F.lit("customer").alias("module"), F.lit(2).alias("priority"))
+    both = s.where("k % 2 = 0").unionByName(c).join(F.broadcast(n), F.col("k") == F.col("n_nationkey"))  # 25 nations
+    candidates = both.select("repository", "module", "priority", F.array("n_name", F.concat("n_name", F.lit("-lib"))).alias("names"))
+    owned = dependencies.resolve_owners(n.select("n_nationkey", F.lower("n_name").alias("artifact_id")), candidates)
+    return owned.select("n_nationkey", "owner_repository", "owner_module")
+
+
+def topk_consumers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("l_partkey").orderBy(F.desc("n"), "l_suppkey")
+    return g.withColumn("position", F.row_number().over(w)).where("position <= 3")
+
+
+def alias_terms_match(spark, sf_dir):
+    a = aliases(spark, sf_dir).withColumns({"owner_repository": F.lit(""), "owner_module": F.lit("")})
+    return dependencies.matching(a, "libs brand-1 7").select("alias", "accessor")
+
+
+def accessor_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.accessor(F.concat_ws("__", "p_type", "p_brand", "p_name")).alias("accessor"), X.letters_only("p_brand").alias("letters"), X.ascii_only("p_name").alias("ascii"))
+
+
+def fallback_join(spark, sf_dir):
+    """Usages whose accessor matches after a provider call is taken off."""
+    a = aliases(spark, sf_dir).where("key % 3 <> 0")
+    tail = F.element_at(F.array(F.lit(""), F.lit(".get"), F.lit(".orNull"), F.lit(".getOrNull"), F.lit(".map")), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    names = aliases(spark, sf_dir).select(F.col("key").alias("l_partkey"), F.col("accessor").alias("_a"))
+    li = table(spark, sf_dir, "lineitem").join(names, "l_partkey")
+    u = li.select(F.concat("_a", tail).alias("accessor"), F.lit("c").alias("consumer_repository"), F.lit(":").alias("consumer_module"), F.col("l_orderkey").alias("path"), F.lit("api").alias("configuration"), F.col("l_linenumber").alias("line"))
+    linked = dependencies.link_usages(u, a).agg(F.count("*").alias("linked"), F.countDistinct("alias").alias("aliases"))
+    return linked.crossJoin(dependencies.unresolved(u, a).agg(F.count("*").alias("unresolved")))
+
+
+def gate_summary(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_id"), "quality")
+    orphan = marks.join(c.select("source_id"), "source_id", "left_anti").agg(F.count("*").alias("orphan_labels"))
+    return quality.gate(quality.chunk_gate(c), orphan)
+
+
+def catalog_lines(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    j = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
+    g = j.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sources"))
+    return g.select(F.concat(F.lit("## "), F.col("r_name"), F.lit(" [region, ready]")).alias("heading"), F.concat(F.lit("- sources: "), F.col("sources")).alias("line"))
+
+
+def snapshot_diff(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    before = d.where("doc_id % 10 <> 0").select("doc_id", F.sha2("text", 256))
+    after = d.where("doc_id % 10 <> 1").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256))
+    return quality.snapshot_diff(before, after).select(F.col("path").alias("doc_id"), "change")
+
+
+def status_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'pending' ELSE 'successful' END")
+    return quality.status_summary(o.select(status.alias("status"), (F.col("o_orderkey") % 4).alias("attempts")))
+
+
+def source_lookup(spark, sf_dir):
+    """Chunks of sources by id prefix, in string order."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("#", F.concat(F.lit("conv"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("source_id"), "role", F.length("text").alias("n_chars"))
+    return c.where(F.col("source_id").startswith("conv1#") | F.col("source_id").startswith("conv12#")).orderBy("source_id")
+
+
+def snippets(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    terms = search.query_terms(spark, {0: "license"})
+    m = search.matches(c, terms, fields=("content",)).select("source_id")
+    return c.join(m, "source_id").select("source_id", search.snippet("content", ["license"], 12).alias("snippet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        repo_inventory, chunk_kind_counts, dup_groups, dup_excess, token_stats, doc_freq, bm25_top, bm25_scores, phrase_match, bm25_batch, recall_mrr,
+        greedy_dedup_top, html_clean, html_gate, redact_lines, secret_gate, title_extract, kind_case, heading_split, short_chunk_filter, turn_ranges,
+        json_leaves, layered_resolve, config_four_layers, alias_usage_join, usage_budget, orphan_usages, owner_resolve, topk_consumers, alias_terms_match,
+        accessor_normalize, fallback_join, gate_summary, catalog_lines, snapshot_diff, status_counts, source_lookup, snippets,
+    )
+}
