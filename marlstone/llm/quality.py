@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.session import table
+from marlstone.session import materialise, table
 
 #: Labelled documents that the weights are fitted on, of each class at most: the one bounded sample.
 SAMPLE_PER_CLASS = 3000
@@ -158,22 +158,24 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[Scorer, float | None]:
-    """The scorer and the threshold.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[Scorer, float | None, DataFrame]:
+    """The scorer, the threshold, and doc_id, score of all rows with a text that is not blank.
 
     The threshold is the score quantile, over all labelled documents that exist, at the share of bad
     ones; between the ranks just below and above it, the middle. None if there are no labels of both
-    classes.
+    classes. Every document is scored once and only scores are joined with labels: texts are never shuffled.
     """
-    marked = labelled(labels)
+    spark = docs.sparkSession
+    marked = materialise(spark, labelled(labels), "labels")
     scorer = fit(draw(marked, docs, per_class))
+    scored = materialise(spark, score_documents(docs.where(F.col("text").rlike(r"\S")), scorer), "scores")
     if not any(map(np.any, scorer.bins)):
-        return scorer, None
-    scored = score_documents(docs.select("doc_id", "text").join(marked, "doc_id", "left_semi"), scorer)
-    bad = docs.select("doc_id").join(marked, "doc_id").agg(F.avg(1 - F.col("good"))).first()[0]
+        return scorer, None, scored
+    both = scored.join(marked, "doc_id")
+    bad = both.agg(F.avg(1 - F.col("good"))).first()[0]
     at = [min(1.0, max(0.0, bad + d)) for d in (-RANK_GAP, RANK_GAP)]
-    low, high = scored.agg(F.percentile_approx("score", at, 20_000)).first()[0]
-    return scorer, (low + high) / 2
+    low, high = both.agg(F.percentile_approx("score", at, 20_000)).first()[0]
+    return scorer, (low + high) / 2, scored
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,8 +183,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows whose text is null or blank go: there is nothing to score. A null doc_id is scored like any
     other; repeated rows are kept or go together. Without labels of both classes all rows with a text stay.
+    Rows are scored again here, which costs less than a join of their texts with the scores.
     """
-    scorer, threshold = train(docs, labels)
+    scorer, threshold, _ = train(docs, labels)
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     filled = base.where(F.col("text").rlike(r"\S"))
     if threshold is None:
@@ -198,8 +201,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, threshold of the documents that the classifier keeps (see ``keep_good``)."""
-    scorer, threshold = train(docs, labels)
-    scored = score_documents(docs.where(F.col("text").rlike(r"\S")), scorer)
+    _, threshold, scored = train(docs, labels)
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.withColumn("threshold", F.lit(threshold).cast("double"))
