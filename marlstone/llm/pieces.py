@@ -202,7 +202,7 @@ class Encoder:
         space, line = buf == 32, buf == 10
         begin = line.copy()
         begin[1:] |= line[:-1] | (space[1:] & ~space[:-1])
-        begin[off[:-1]] = True
+        begin[off[:-1][off[:-1] < off[1:]]] = True
         s = np.flatnonzero(begin)
         e = np.append(s[1:], len(buf))
         h = W.span_hash(buf, s, e)
