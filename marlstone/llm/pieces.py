@@ -26,7 +26,9 @@ TOKENIZERS = os.environ.get("MARLSTONE_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK_BYTES = 2 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
+#: Pairs of pieces that are looked up one by one before they join the sorted ones.
+LATE_PAIRS = 4000
 
 _G = np.uint64(0xD1342543DE82EF95)
 
@@ -65,7 +67,9 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_len = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
-        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
+        self.pair_keys, self.pair_ok = np.array([-1]), np.array([False])  # sorted; those met lately are in a dict
+        self.late: dict[int, bool] = {}
+        self.encoder: Encoder | None = None
 
     def codes(self, chars: np.ndarray) -> np.ndarray:
         """A random-looking number for each code point."""
@@ -79,12 +83,16 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging best pairs first, leftmost among equals, leaves of a text."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self.rank.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == np.inf:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        parts, rank, never = list(text), self.rank, float("inf")
+        ranks = [rank.get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank.get(parts[k - 1] + parts[k], never)
+            if k < len(ranks):
+                ranks[k] = rank.get(parts[k] + parts[k + 1], never)
         return parts
 
     def adjacent(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -92,17 +100,22 @@ class Pieces:
         out = (left < 0) | (right < 0)
         ask = np.flatnonzero(~out)
         key = left[ask].astype(np.int64) << 32 | right[ask]
-        for again in (False, True):
-            at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
-            found = self.pair_keys[at] == key if len(self.pair_keys) else np.zeros(len(key), bool)
-            if again or found.all():
-                break
-            new = np.unique(key[~found])
-            ok = [self.merge(self.text[k >> 32] + self.text[k & 0xFFFFFFFF]) == [self.text[k >> 32], self.text[k & 0xFFFFFFFF]] for k in new.tolist()]
-            keys = np.concatenate([self.pair_keys, new])
-            order = np.argsort(keys)
-            self.pair_keys, self.pair_ok = keys[order], np.concatenate([self.pair_ok, np.array(ok, bool)])[order]
-        out[ask] = self.pair_ok[at]
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        ok = self.pair_ok[at]
+        new = np.flatnonzero(self.pair_keys[at] != key)
+        if len(new):
+            late, text = self.late, self.text
+            for k in np.unique(key[new]).tolist():
+                if k not in late:
+                    a, b = text[k >> 32], text[k & 0xFFFFFFFF]
+                    late[k] = self.merge(a + b) == [a, b]
+            ok[new] = [late[k] for k in key[new].tolist()]
+            if len(late) > LATE_PAIRS:
+                keys = np.concatenate([self.pair_keys, np.fromiter(late, np.int64)])
+                order = np.argsort(keys)
+                self.pair_keys, self.pair_ok = keys[order], np.concatenate([self.pair_ok, np.fromiter(late.values(), bool)])[order]
+                late.clear()
+        out[ask] = ok
         return out
 
     def segment(self, words: list[str]) -> list[np.ndarray]:
@@ -183,18 +196,16 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 20, np.int32), 0
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hash) > CACHE_WORDS:
-            self._clear()
         ids = self.p.segment(words)
         n = np.array([len(i) for i in ids], np.int64)
         total = int(n.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + total] = np.concatenate(ids)
-        h = np.concatenate([self.hash, hashes])
-        order = np.argsort(h)
-        self.at = np.concatenate([self.at, self.used + np.cumsum(n) - n])[order]
-        self.n, self.hash = np.concatenate([self.n, n])[order], h[order]
+        where = np.searchsorted(self.hash, hashes)  # both are sorted
+        self.hash = np.insert(self.hash, where, hashes)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(n) - n)
+        self.n = np.insert(self.n, where, n)
         self.used += total
 
     def block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,6 +240,12 @@ class Encoder:
         return self.p.raw[np.repeat(self.p.raw_at[ids] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
+def encoder_of(pieces: Pieces) -> Encoder:
+    """The encoder of a task's process: what it has learned serves later tasks too."""
+    pieces.encoder = pieces.encoder or Encoder(pieces)
+    return pieces.encoder
+
+
 def spaced_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of texts with a space before each, except before empty ones, which stay empty."""
     import pyarrow.compute as pc
@@ -262,7 +279,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in spaced_blocks(batch.column(1)):
@@ -288,7 +305,7 @@ def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model or model_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for b in batches:
             texts = [None if i is None else encoder.decode(np.array(i, np.int64)).tobytes()[1 if i else 0 :].decode(errors="replace") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
