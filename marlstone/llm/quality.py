@@ -10,7 +10,7 @@ those labelled bad.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ def draw(marked: DataFrame, docs: DataFrame, per_class: int) -> list[tuple[int,
     return [(g, t) for _, g, t in sorted(map(tuple, rows.toLocalIterator()))]
 
 
-def select_words(sets: list[set[str]], y: np.ndarray, min_docs: int = MIN_DOCS) -> list[str]:
+def select_words(sets: Iterable[set[str]], y: np.ndarray, min_docs: int = MIN_DOCS) -> list[str]:
     """The words whose document frequencies speak most for the bad class."""
     count: dict[str, list[int]] = {}
     for words, g in zip(sets, y):
@@ -129,15 +129,19 @@ def fit(sample: list[tuple[int, str]]) -> Scorer:
     y = np.array([g for g, _ in sample], np.int64)
     if not len(y) or y.min() == y.max():
         return Scorer({}, [], [])
-    sets, stats = zip(*(words_and_stats(t) for _, t in sample))
-    names = select_words(list(sets), y)
+    names = select_words((words_and_stats(t)[0] for _, t in sample), y)
     number = {w: k for k, w in enumerate(names)}
+    hits, stats = [], []
+    for _, t in sample:  # again, so that the words of all texts are never held at once
+        words, s = words_and_stats(t)
+        hits.append([number[w] for w in words if w in number])
+        stats.append(s)
     st = np.array(stats)
     edges = [np.unique(np.quantile(st[:, c], np.linspace(0, 1, BINS + 1)[1:-1])) for c in range(st.shape[1])]
     width = [len(e) + 1 for e in edges]
     x = np.zeros((len(y), len(names) + sum(width)), np.float32)
-    for r, words in enumerate(sets):
-        x[r, [number[w] for w in words if w in number]] = 1
+    for r, found in enumerate(hits):
+        x[r, found] = 1
     at = len(names)
     for c, e in enumerate(edges):
         x[np.arange(len(y)), at + np.searchsorted(e, st[:, c], side="right")] = 1
