@@ -84,3 +84,21 @@ def suggestion(aliases: DataFrame, usages: DataFrame, requested: str, scope: str
     shown = consumers(top, usages, 3).groupBy(*ALIAS).agg(F.array_sort(F.collect_list(F.struct("n", "consumer_repository", "consumer_module", "path", "line", "configuration", "commit_sha"))).alias("consumers"))
     version = F.when(F.col("version_ref") != "", F.col("version_ref")).otherwise(F.col("version_value"))
     return top.join(shown, ALIAS, "left").withColumn("declaration", F.format_string("%s(libs.%s)", F.lit(scope), "accessor")).withColumn("coordinates", F.concat_ws(":", "group_id", "artifact_id")).withColumn("version", version)
+
+
+def draft_cases(aliases: DataFrame, usages: DataFrame, most: int = 20) -> DataFrame:
+    """position, case_id, query, alias, usages, consumer of the most used aliases with an owner, as cases to review.
+
+    Only usages with a known configuration count. The case_id is the alias as a slug; further ones of the
+    same slug get a number.
+    """
+    known = usages.where("configuration <> 'unknown'").select(*ALIAS, "consumer_repository", "consumer_module", "path", "configuration", "line")
+    joined = aliases.where("owner_repository <> ''").select(*ALIAS, "artifact_id").join(known, ALIAS)
+    consumer = F.struct("consumer_repository", "consumer_module", "path", "line", "configuration")
+    grouped = joined.groupBy(*ALIAS).agg(F.count("*").alias("usages"), F.min(consumer).alias("consumer"), F.min("artifact_id").alias("query"))
+    top = grouped.orderBy(F.desc("usages"), "alias", "catalog_path", "catalog_repository").limit(most)
+    order = Window.orderBy(F.desc("usages"), "alias", "catalog_path", "catalog_repository")  # over ``most`` rows
+    slug = F.regexp_replace(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", "-"), "^-|-$", "")
+    placed = top.withColumn("position", F.row_number().over(order)).withColumn("_slug", F.when(slug == "", "case").otherwise(slug))
+    again = F.row_number().over(Window.partitionBy("_slug").orderBy("position"))
+    return placed.withColumn("_n", again).select("position", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", F.col("_n").cast("string"))).alias("case_id"), "query", "alias", "usages", "consumer")

@@ -115,3 +115,35 @@ def status_summary(records: DataFrame, attempts: int = 2) -> DataFrame:
     failed = F.col("status") == "failed"
     each = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "successful", "failed")]
     return records.agg(F.count("*").alias("total"), *each, F.count_if(failed & (F.col("attempts") < attempts)).alias("retryable"), F.count_if(failed & (F.col("attempts") >= attempts)).alias("terminal"))
+
+
+def audit_failures(audit: DataFrame, revisions: DataFrame, schema_version: int, fingerprint: str) -> DataFrame:
+    """One row, failures: what in a one-row audit contradicts the index or tells of lost input.
+
+    revisions has a row for each source with its commit; counters that the audit lacks count as 0.
+    """
+    have = set(audit.columns)
+
+    def n(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("long"), F.lit(0)) if name in have else F.lit(0)
+
+    sources = revisions.agg(F.count("*").alias("_revisions"), F.count_if(~F.coalesce(F.col("commit").rlike("^[0-9a-f]{40,64}$"), F.lit(False))).alias("_bad"))
+    rules = (
+        (n("schema_version") != schema_version, "another schema version"),
+        (F.coalesce(F.col("fingerprint") if "fingerprint" in have else F.lit(""), F.lit("")) != fingerprint, "another index"),
+        (n("sources") == 0, "no sources"),
+        (F.col("_revisions") != n("sources"), "revisions do not cover the sources"),
+        (F.col("_bad") > 0, "a source without a commit"),
+        (n("files_unreadable") > 0, "unreadable files"),
+        (n("chunks_with_raw_html") > 0, "raw HTML in chunks"),
+        (n("configuration_skipped") > 0, "configuration was skipped"),
+        (n("contexts_invalid") > 0, "invalid context cards"),
+        ((n("catalogs_seen") > 0) & (n("aliases") == 0), "a catalog gave no aliases"),
+    )
+    found = F.array_compact(F.array(*(F.when(test, F.lit(text)) for test, text in rules)))
+    return audit.crossJoin(sources).select(found.alias("failures"))
+
+
+def first_offenders(rows: DataFrame, condition: Column, key: str, most: int = 20) -> DataFrame:
+    """The first keys of the rows that a gate objects to."""
+    return rows.where(condition).select(key).distinct().orderBy(key).limit(most)

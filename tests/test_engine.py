@@ -137,3 +137,22 @@ def test_streaming(spark, sf, tmp_path):
     from marlstone.operators.search import postings
 
     assert spark.read.parquet(str(tmp_path / "out")).count() == postings(docs, "doc_id", ("text",)).count()
+
+
+def test_draft_cases_and_audit(spark, built):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import dependencies
+
+    relations, audit = built
+    cases = dependencies.draft_cases(relations["dependency_aliases"], relations["dependency_usages"]).collect()
+    assert [(c.case_id, c.usages, c.consumer.line) for c in cases] == [("fixture-lib", 1, 2)]
+    twice = relations["dependency_aliases"].withColumn("alias", F.lit("A-b")).unionByName(relations["dependency_aliases"].withColumn("alias", F.lit("a_b"))).withColumn("owner_repository", F.lit("o"))
+    used = relations["dependency_usages"].withColumn("alias", F.lit("A-b")).unionByName(relations["dependency_usages"].withColumn("alias", F.lit("a_b")))
+    assert [c.case_id for c in dependencies.draft_cases(twice, used).collect()] == ["a-b", "a-b-2"]
+    revisions = spark.createDataFrame([(r, "a" * 40) for r in "abcd"], "source string, commit string")
+    good = audit.withColumns({"schema_version": F.lit(1), "fingerprint": F.lit("f")})
+    assert quality.audit_failures(good, revisions, 1, "f").first()[0] == []
+    bad = good.withColumns({"schema_version": F.lit(2), "files_unreadable": F.lit(3)})
+    assert quality.audit_failures(bad, revisions.limit(3), 1, "f").first()[0] == ["another schema version", "revisions do not cover the sources", "unreadable files"]
+    assert [r[0] for r in quality.first_offenders(relations["chunks"], F.col("kind") == "usage", "path").collect()] == ["docs/usage/use.md"]
