@@ -9,7 +9,7 @@ from marlstone.functions.text import short_commit
 from marlstone.operators import cards, configuration, dependencies, quality, search
 from marlstone.sources import sinks
 
-SEARCH_FILTERS = ("pack_id", "repository", "module", "kind", "language", "configuration_set", "path")
+SEARCH_FILTERS = frozenset("configuration_set kind language module pack_id path repository".split())
 
 
 class Engine:
@@ -26,7 +26,7 @@ class Engine:
 
     def search(self, query: str, limit: int = 5, **filters: str) -> DataFrame:
         """Best chunks with a highlighted snippet; limits are 1 to 10, filters equalities."""
-        if strange := set(filters) - set(SEARCH_FILTERS):
+        if strange := set(filters) - SEARCH_FILTERS:
             raise ValueError(f"no such filter: {', '.join(sorted(strange))}")
         limit = min(max(limit, 1), 10)
         terms = [t for p in search.phrases(query) for t in p]

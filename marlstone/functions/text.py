@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}]+"
-TAGS = "a|article|aside|br|code|details|div|em|footer|h[1-6]|header|img|li|main|nav|ol|p|pre|section|script|span|strong|style|table|tbody|td|th|thead|tr|ul"
+TAGS = "table|thead|tbody|tr|td|th|ul|ol|li|h[1-6]|p|pre|code|br|em|strong|span|a|img|div|section|article|aside|header|footer|main|nav|details|script|style"
 TAG = rf"(?i)</?(?:{TAGS})\b[^>]*>"
 BLOCKS = ("script", "style", "nav", "header", "footer")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
-SECRET = r"(?:[A-Za-z0-9_.-]+[._-])?(?:password|secret|token|private[-_]?key|credential|api[-_]?key)"
+SECRET = r"(?:[\w.-]+[._-])?(?:api[-_]?key|credential|password|private[-_]?key|secret|token)"
 KIND_ORDER = {"context": 0, "usage": 1, "docs": 2, "example": 3, "source": 4}
 
 
@@ -63,7 +63,7 @@ def content_kind(path: Column, language: Column) -> Column:
 def title(text: Column | str, fallback: Column) -> Column:
     """First level-one heading, else the first declared type's name, else the fallback."""
     heading = F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)
-    symbol = F.regexp_extract(text, r"(?m)^\s*(?:(?:public|private|protected|abstract|final|data|sealed|open)\s+)*(?:class|interface|object|enum|record)\s+([A-Za-z_]\w*)", 1)
+    symbol = F.regexp_extract(text, r"(?m)^\s*(?:(?:abstract|data|final|open|private|protected|public|sealed)\s+)*(?:enum|class|record|object|interface)\s+([_a-zA-Z]\w*)", 1)
     return F.trim(F.coalesce(F.nullif(heading, F.lit("")), F.nullif(symbol, F.lit("")), fallback))
 
 
@@ -88,8 +88,8 @@ def clean_html(text: Column | str) -> Column:
 
 def clean_markdown(text: Column | str) -> Column:
     """Blank front matter, drop import and export lines, delete listed tags."""
-    out = blank_lines(text, r"(?s)\A---\s*\n.*?\n---\s*\n")
-    out = F.regexp_replace(out, r"(?m)^\s*(import|export)\s+.*$", "")
+    out = blank_lines(text, r"(?s)\A-{3}\s*\n.*?\n-{3}\s*\n")
+    out = F.regexp_replace(out, r"(?m)^\s*(?:export|import)\s.*$", "")
     return F.regexp_replace(out, TAG, "")
 
 

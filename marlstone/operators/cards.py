@@ -8,15 +8,16 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("application", "library", "library-suite", "support-module")
-FIELDS = frozenset("schema_version kind name aliases modules purpose use_when do_not_use_when entrypoints dependency configuration examples evidence related unknowns components".split())
+KINDS = tuple("support-module library-suite library application".split())
+FIELDS = frozenset("aliases components configuration dependency do_not_use_when entrypoints evidence examples kind modules name purpose related schema_version unknowns use_when".split())
 OBJECTS = {"evidence": ("path", "proves", "url"), "examples": ("id", "path", "summary"), "configuration": ("key", "required", "description"), "components": ("module", "context")}
 NEEDED = {"evidence": ("path", "proves"), "examples": ("id", "path", "summary"), "configuration": ("key", "description"), "components": ("module", "context")}
-EXPLAINED = {"evidence": "proves", "examples": "summary", "configuration": "description"}
+EXPLAINED = dict(configuration="description", evidence="proves", examples="summary")
 ECOSYSTEMS = {"gradle": "alias", "maven": "coordinates", "npm": "package"}
 HEADINGS = ("Когда использовать", "Зависимость", "Минимальный пример", "Обязательная конфигурация", "Ожидаемый результат", "Ограничения и типичные ошибки", "Evidence")
-CATALOG_TYPES = ("application", "library", "library-suite", "support-module", "guide")
-_ABSOLUTE = re.compile(r"/|~[/\\]|[A-Za-z]:[/\\]")
+CATALOG_TYPES = (*KINDS, "guide")
+URL = re.compile("https?://")
+_ABSOLUTE = re.compile(r"~?[\\/]|[a-zA-Z]:[\\/]")
 
 
 def strings(value) -> list[str]:
@@ -49,12 +50,12 @@ def list_errors(card: dict, field: str) -> list[str]:
     if not isinstance(value, list):
         return [f"{field}: not a list"]
     out = []
-    for n, item in enumerate(value, 1):
-        if not isinstance(item, dict):
+    for n, entry in enumerate(value, 1):
+        if type(entry) is not dict:
             out.append(f"{field}[{n}]: not an object")
             continue
-        out += [f"{field}[{n}]: unknown field {k}" for k in sorted(set(item) - set(OBJECTS[field]))]
-        out += [f"{field}[{n}].{k}: empty" for k in NEEDED[field] if not filled(item.get(k))]
+        out += [f"{field}[{n}]: unknown field {k}" for k in sorted(entry.keys() - set(OBJECTS[field]))]
+        out += [f"{field}[{n}].{k}: empty" for k in NEEDED[field] if not filled(entry.get(k))]
     return out
 
 
@@ -67,7 +68,7 @@ def card_paths(card: dict) -> list[tuple[str, str]]:
 def path_error(value: str, files: set[str]) -> str | None:
     """Why a path is not that of a file in the repository (its relative paths), or None."""
     value = value.strip()
-    if value.startswith(("http://", "https://")):
+    if URL.match(value):
         return f"{value}: a URL, not a path"
     if _ABSOLUTE.match(value):
         return f"{value}: an absolute path"
@@ -81,11 +82,12 @@ def usage_errors(text: str, files: set[str]) -> list[str]:
     """What is wrong with a usage document."""
     out = [] if re.search(r"(?m)^#\s+\S", text) else ["no title"]
     out += [f"no heading {h}" for h in HEADINGS if not re.search(rf"(?m)^## {re.escape(h)}\s*$", text)]
-    if re.search(r"/home/|/Users/|[A-Za-z]:[/\\]", text):
+    if re.search(r"[a-zA-Z]:[\\/]|/Users/|/home/", text):
         out.append("a local path")
     _, mark, rest = text.partition("## Evidence")
     if mark:
-        named = re.findall(r"`([^`]+)`", re.split(r"(?m)^##\s+", rest, maxsplit=1)[0])
+        section = re.match(r"(?s).*?(?=^##\s|\Z)", rest, re.M)[0]
+        named = [m[1:-1] for m in re.findall("`[^`]+`", section)]
         out += [] if named else ["Evidence names no file"]
         out += [f"Evidence {e}" for v in named if (e := path_error(v, files))]
     return out
@@ -104,23 +106,18 @@ def card_errors(card, files: dict[str, str], explanation: str = r"[А-Яа-яЁ
     out += [f"{f}: empty" for f in ("name", "purpose") if not filled(card.get(f))]
     out += [] if strings(card.get("use_when")) else ["use_when: empty"]
     out += [] if isinstance(card.get("evidence"), list) and card["evidence"] else ["evidence: empty"]
-    for field in ("evidence", "examples", "configuration"):
+    for field in EXPLAINED:
         out += list_errors(card, field)
-    for n, item in enumerate(card.get("configuration") if isinstance(card.get("configuration"), list) else [], 1):
-        if isinstance(item, dict) and not isinstance(item.get("required", True), bool):
-            out.append(f"configuration[{n}].required: neither true nor false")
-    for n, item in enumerate(card.get("evidence") if isinstance(card.get("evidence"), list) else [], 1):
-        if isinstance(item, dict) and "url" in item and not (isinstance(item["url"], str) and item["url"].startswith(("http://", "https://"))):
-            out.append(f"evidence[{n}].url: no permalink")
+    out += [f"configuration {v.get('key')}: required is neither true nor false" for v in objects(card.get("configuration")) if not isinstance(v.get("required", True), bool)]
+    out += [f"evidence {v.get('path')}: url is no permalink" for v in objects(card.get("evidence")) if "url" in v and not URL.match(str(v["url"]))]
     if kind == "library-suite":
         out += [] if card.get("components") else ["components: a suite needs them"]
         out += list_errors(card, "components")
-        out += [f"{f}: belongs to the components of a suite" for f in ("entrypoints", "dependency", "configuration", "examples") if card.get(f)]
+        out += [f"{f}: belongs to the components of a suite" for f in "configuration dependency entrypoints examples".split() if card.get(f)]
     elif card.get("components"):
         out.append("components: only a suite has them")
-    for field in ("aliases", "modules", "use_when", "do_not_use_when", "entrypoints", "related", "unknowns"):
-        value = card.get(field)
-        if field in card and (not isinstance(value, list) or len(strings(value)) != len(value)):
+    for field in "aliases do_not_use_when entrypoints modules related unknowns use_when".split():
+        if field in card and strings(card[field]) != card[field]:
             out.append(f"{field}: not a list of filled strings")
     out += dependency_errors(card.get("dependency"))
     said = [("purpose", card.get("purpose"))] + [(f, v) for f in ("use_when", "do_not_use_when", "unknowns") for v in strings(card.get(f))]
@@ -131,9 +128,10 @@ def card_errors(card, files: dict[str, str], explanation: str = r"[А-Яа-яЁ
         if error := path_error(value, names):
             out.append(f"{field} {error}")
         plain = os.path.normpath(value.strip())
-        if field == "examples" and not re.search(r"(^|/)docs/usage/[^/]+\.md$", plain):
+        placed = re.fullmatch(r"(.*/)?docs/usage/[^/]*[^/]\.md", plain)
+        if field == "examples" and not placed:
             out.append(f"examples {value}: not in docs/usage")
-        elif field == "examples" and plain in names and plain not in seen:
+        elif field == "examples" and plain in names - seen:
             seen.add(plain)
             out += [f"examples {value}: {e}" for e in usage_errors(files[plain], names)]
         if field == "components" and os.path.basename(plain) != "project-context.yaml":
@@ -163,10 +161,11 @@ def dependency_errors(value) -> list[str]:
 def catalog_item(card: dict, repository: str, module: str) -> dict:
     """The catalog item of a valid card."""
     has = [c for c, f in (("usage", "examples"), ("api", "entrypoints"), ("configuration", "configuration")) if card.get(f)]
-    return {
-        "id": card["name"], "type": card["kind"], "status": "curated", "aliases": list(dict.fromkeys([card["name"], *strings(card.get("aliases"))])), "sources": [repository + module],
-        "capabilities": ["context", *has], "purpose": card["purpose"], "use_when": strings(card.get("use_when")), "examples": [p for f, p in card_paths(card) if f == "examples"],
-    }
+    names = dict.fromkeys([card["name"], *strings(card.get("aliases"))])
+    return dict(
+        id=card["name"], type=card["kind"], status="curated", aliases=list(names), sources=[repository + module], capabilities=["context", *has],
+        purpose=card["purpose"], use_when=strings(card.get("use_when")), examples=[p for f, p in card_paths(card) if f == "examples"],
+    )
 
 
 def merge_catalog(items: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import ascii_only, letters_only
 
 ALIAS = ["catalog_repository", "catalog_path", "alias"]
+PLACE = "consumer_repository consumer_module path configuration line".split()
 SUFFIX = r"\.(get|orNull|getOrNull)$"
 
 
@@ -36,7 +37,7 @@ def link_usages(usages: DataFrame, aliases: DataFrame) -> DataFrame:
     exact = usages.join(keys, "accessor")
     rest = usages.join(keys.select("accessor").distinct(), "accessor", "left_anti").where(F.col("accessor").rlike(SUFFIX))
     late = rest.withColumn("accessor", F.regexp_replace("accessor", SUFFIX, "")).join(keys, "accessor")
-    edge = [*ALIAS, "consumer_repository", "consumer_module", "path", "configuration", "line"]
+    edge = [*ALIAS, *PLACE]
     return exact.unionByName(late).dropDuplicates(edge)
 
 
@@ -55,10 +56,10 @@ def orphans(usages: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def matching(aliases: DataFrame, requested: str) -> DataFrame:
     """Aliases whose names hold all requested terms; a request without terms matches none."""
-    terms = [re.sub(r"[\W_]+", "", t.lower()) for t in re.findall(r"[\w-]+", requested) if t.lower() not in ("libs", "library", "dependency")]
+    terms = [re.sub(r"[\W_]+", "", t) for t in re.findall(r"[-\w]+", requested.lower()) if t not in ("dependency", "library", "libs")]
     if not terms:
         return aliases.limit(0)
-    text = letters_only(F.concat_ws(" ", "alias", "accessor", "group_id", "artifact_id", "owner_repository", "owner_module"))
+    text = letters_only(F.concat_ws(" ", *"alias accessor group_id artifact_id owner_repository owner_module".split()))
     return aliases.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))
 
 
@@ -92,7 +93,7 @@ def draft_cases(aliases: DataFrame, usages: DataFrame, most: int = 20) -> DataFr
     Only usages with a known configuration count. The case_id is the alias as a slug; further ones of the
     same slug get a number.
     """
-    known = usages.where("configuration <> 'unknown'").select(*ALIAS, "consumer_repository", "consumer_module", "path", "configuration", "line")
+    known = usages.where("configuration <> 'unknown'").select(*ALIAS, *PLACE)
     joined = aliases.where("owner_repository <> ''").select(*ALIAS, "artifact_id").join(known, ALIAS)
     consumer = F.struct("consumer_repository", "consumer_module", "path", "line", "configuration")
     grouped = joined.groupBy(*ALIAS).agg(F.count("*").alias("usages"), F.min(consumer).alias("consumer"), F.min("artifact_id").alias("query"))

@@ -113,7 +113,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def status_summary(records: DataFrame, attempts: int = 2) -> DataFrame:
     """One row of counts: total, each status, failed records that may be tried again and those that may not."""
     failed = F.col("status") == "failed"
-    each = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "successful", "failed")]
+    each = [F.count_if(F.col("status") == s).alias(s) for s in "failed successful running pending".split()]
     return records.agg(F.count("*").alias("total"), *each, F.count_if(failed & (F.col("attempts") < attempts)).alias("retryable"), F.count_if(failed & (F.col("attempts") >= attempts)).alias("terminal"))
 
 

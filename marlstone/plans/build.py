@@ -43,7 +43,7 @@ def chunk_rows(ready: DataFrame, options: Options) -> DataFrame:
     """The chunks relation; short chunks go after numbering, so that numbers keep their gaps."""
     cut = ready.select("*", F.posexplode(chunks_of("text", "language", F.lit(options.chunk_chars))).alias("n", "c"))
     rows = cut.select(
-        F.concat("source_base", F.lit("#"), (F.col("n") + 1).cast("string")).alias("source_id"), F.lit(options.pack).alias("pack_id"), "repository", "module", "path", "kind", "language",
+        F.concat("source_base", F.lit("#"), (F.col("n") + 1).cast("string")).alias("source_id"), F.lit(options.pack).alias("pack_id"), *"repository module path kind language".split(),
         "configuration_set", "commit_sha", "c.line_start", "c.line_end", "title", "c.content", F.sha2("c.content", 256).alias("content_hash"),
     )
     return rows.where(F.length("content") >= options.short_chunk)
@@ -54,7 +54,7 @@ def configuration_rows(ready: DataFrame, options: Options) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     rows = ready.where("language = 'yaml' AND kind = 'configuration'").select("*", F.explode(configuration_of("text", name)).alias("v"))
     layer = F.when(F.col("configuration_set") == "", "module").otherwise("central")
-    return rows.select(F.col("source_base").alias("source_id"), F.lit(options.pack).alias("pack_id"), "repository", "module", "path", "configuration_set", "v.profile", layer.alias("layer"), "v.key_path", "v.value_json")
+    return rows.select(F.col("source_base").alias("source_id"), F.lit(options.pack).alias("pack_id"), *"repository module path configuration_set v.profile".split(), layer.alias("layer"), "v.key_path", "v.value_json")
 
 
 def alias_rows(ready: DataFrame, options: Options, cards: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from marlstone.functions.text import ACCENTS, BLOCKS, ENTITIES, PLAIN, TAGS
 
 _TOK = f"regexp_extract_all(translate(lower({{}}), '{ACCENTS}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
-_SECRET = r"(?:[A-Za-z0-9_.-]+[._-])?(?:password|secret|token|private[-_]?key|credential|api[-_]?key)"
+_SECRET = r"(?:[\w.-]+[._-])?(?:api[-_]?key|credential|password|private[-_]?key|secret|token)"
 
 
 def tok(column: str) -> str:
@@ -67,7 +67,7 @@ LEAKS = rf"len(list_filter(regexp_extract_all({{}}, '(?im)^(\s*{_SECRET}\s*[:=].
 LEAF = "(SELECT *, unnest(json_keys(props)) AS key_path FROM events)"
 
 ORACLES = {
-    "repo_inventory": f"WITH {CHUNKS} SELECT repository, count(*) AS chunks, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_chunks" for k in ("context", "usage", "docs", "example", "source", "configuration")) + ", count(DISTINCT module) AS modules, max(commit_sha) AS commit_sha FROM chunks GROUP BY repository",
+    "repo_inventory": f"WITH {CHUNKS} SELECT repository, count(*) AS chunks, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_chunks" for k in "configuration source example docs usage context".split()) + ", count(DISTINCT module) AS modules, max(commit_sha) AS commit_sha FROM chunks GROUP BY repository",
     "chunk_kind_counts": f"WITH {CHUNKS} SELECT kind, {PRIORITY}::INTEGER AS priority, count(*) AS n, count(DISTINCT repository) AS repositories FROM chunks GROUP BY kind",
     "dup_groups": "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "dup_excess": "SELECT count(*) AS duplicate_groups, coalesce(sum(n - 1), 0)::BIGINT AS excess FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)",
@@ -97,8 +97,8 @@ ORACLES = {
     "secret_gate": f"SELECT count(*) FILTER ({LEAKS.format(LINES)} > 0) AS leaks, count(*) FILTER ({LEAKS.format(REDACTED)} > 0) AS leaks_after_redaction FROM documents",
     "title_extract": r"""SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 AND trim(string_split(text, chr(10))[1]) <> '' THEN string_split(text, chr(10))[1]
         WHEN regexp_extract(text, '(?m)^#\s+(.+)$', 1) <> '' THEN regexp_extract(text, '(?m)^#\s+(.+)$', 1)
-        WHEN regexp_extract(text, '(?m)^\s*(?:(?:public|private|protected|abstract|final|data|sealed|open)\s+)*(?:class|interface|object|enum|record)\s+([A-Za-z_]\w*)', 1) <> ''
-        THEN regexp_extract(text, '(?m)^\s*(?:(?:public|private|protected|abstract|final|data|sealed|open)\s+)*(?:class|interface|object|enum|record)\s+([A-Za-z_]\w*)', 1)
+        WHEN regexp_extract(text, '(?m)^\s*(?:(?:abstract|data|final|open|private|protected|public|sealed)\s+)*(?:enum|class|record|object|interface)\s+([_a-zA-Z]\w*)', 1) <> ''
+        THEN regexp_extract(text, '(?m)^\s*(?:(?:abstract|data|final|open|private|protected|public|sealed)\s+)*(?:enum|class|record|object|interface)\s+([_a-zA-Z]\w*)', 1)
         ELSE 'doc-' || doc_id END) AS title FROM documents""",
     "kind_case": r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(p, '(^|/)project-context\.yaml$') THEN 'context' WHEN l = 'markdown' AND regexp_matches(p, '(^|/)docs/usage/[^/]+$') THEN 'usage'
         WHEN contains(lower(p), 'example') OR contains(lower(p), 'test') THEN 'example' WHEN l = 'yaml' THEN 'configuration' WHEN l = 'html' THEN 'docs' ELSE 'source' END AS kind

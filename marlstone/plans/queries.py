@@ -9,7 +9,7 @@ from marlstone.functions import text as X
 from marlstone.operators import configuration, dependencies, quality, search
 from marlstone.session import table
 
-KINDS = ("context", "usage", "docs", "example", "source", "configuration")
+KINDS = "context usage docs example source configuration".split()
 QUERY = "Licensed under-the Apache"
 LIMIT = 5
 

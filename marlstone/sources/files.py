@@ -8,17 +8,17 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SKIPPED = (".git", ".gradle", ".idea", "build", "dist", "node_modules", "target", "generated", "__generated", "__pycache__")
+SKIPPED = tuple("target dist build node_modules __pycache__ __generated generated .idea .gradle .git".split())
 LANGUAGES = {
-    "java": "java", "kt": "kotlin", "kts": "kotlin", "gradle": "groovy", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "vue": "vue",
-    "md": "markdown", "mdx": "markdown", "html": "html", "htm": "html", "yaml": "yaml", "yml": "yaml", "toml": "toml", "properties": "properties",
+    "vue": "vue", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "gradle": "groovy", "kt": "kotlin", "kts": "kotlin", "java": "java",
+    "properties": "properties", "toml": "toml", "yml": "yaml", "yaml": "yaml", "htm": "html", "html": "html", "mdx": "markdown", "md": "markdown",
 }
 LIBRARY = r"(-adapter|-model-shared|-facade)$"
 
 
 def excluded_names(text: str) -> set[str]:
     """Names in an exclusion list: one a line, # begins a comment."""
-    return {n for line in text.splitlines() if (n := line.split("#", 1)[0].strip())}
+    return {n for line in text.splitlines() if (n := re.sub("#.*", "", line).strip())}
 
 
 def discover(root: str, excluded: set[str] = frozenset()) -> list[str]:
@@ -74,7 +74,7 @@ def modules(files: DataFrame) -> DataFrame:
     folder = F.regexp_replace("path", r"/?[^/]+$", "")
     every = files.select("repository", F.explode(_ancestors(folder)).alias("folder")).distinct()
     settings = files.where(F.col("path").rlike(r"^settings\.gradle(\.kts)?$"))
-    declared = settings.select("repository", F.explode(F.regexp_extract_all("text", F.lit("[\"'](:[A-Za-z0-9_:-]+)[\"']"), F.lit(1))).alias("module"))
+    declared = settings.select("repository", F.explode(F.regexp_extract_all("text", F.lit(r"""["'](:[\w:-]+)["']"""), F.lit(1))).alias("module"))
     declared = declared.withColumn("folder", F.translate(F.regexp_replace("module", "^:", ""), ":", "/")).join(every, ["repository", "folder"]).withColumn("rank", F.lit(0))
     built = files.where(F.col("path").rlike(r"(^|/)build\.gradle[^/]*$")).select("repository", folder.alias("folder"))
     roots = files.select("repository", F.lit("").alias("folder")).distinct()
@@ -110,4 +110,4 @@ def configuration_set(repository: Column, path: Column, central: list[str]) -> C
 
 
 def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
+    return "-".join(re.findall("[a-z0-9]+", text.lower()))

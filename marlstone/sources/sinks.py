@@ -78,7 +78,7 @@ def install(packed: str, target: str) -> None:
     """Unpack beside the target, check every file, then swap; a bad pack leaves the target as it was."""
     with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(target))) as aside, zipfile.ZipFile(packed) as z:
         manifest = json.loads(z.read("manifest.json"))
-        if manifest.get("schema_version") != schema.VERSION:
+        if schema.VERSION != manifest.get("schema_version"):
             raise ValueError("the pack has another schema version")
         if {i.filename for i in z.infolist()} != {"manifest.json", *(f"data/{n}" for n in manifest["files"])}:
             raise ValueError("the pack's files are not those of its manifest")

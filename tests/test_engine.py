@@ -107,7 +107,7 @@ def test_dependency_metrics(spark):
 
 
 def test_cards():
-    good = {"schema_version": 1, "kind": "library", "name": "x", "purpose": "Цель", "use_when": ["Когда"], "evidence": [{"path": "src/A.kt", "proves": "Код"}]}
+    good = dict(name="x", kind="library", purpose="Цель", schema_version=1, use_when=["Когда"], evidence=[{"path": "src/A.kt", "proves": "Код"}])
     files = {"src/A.kt": ""}
     assert cards.card_errors(good, files) == []
     bad = good | {"evidence": [{"path": "/abs", "proves": "Код"}, {"path": "../up", "proves": "Код"}, {"path": "no", "proves": "Код"}], "extra": 1}
