@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     The threshold is the score quantile, over all labelled documents that exist, at the share of bad
     ones; between the ranks just below and above it, the middle. None if there are no labels of both
-    classes. Every document is scored once and only scores are joined with labels: texts are never shuffled.
+    classes. Every document is scored once and only scores are joined with labels, so no text is shuffled
+    (a join of the labelled texts took 33 x the input in disk at 30 GB, this takes 0.02 x).
     """
     spark = docs.sparkSession
     marked = materialise(spark, labelled(labels), "labels")
