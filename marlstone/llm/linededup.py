@@ -1,12 +1,11 @@
-"""Line dedup by content-defined chunks.
-
-A text is broken into short lines: at its newlines, and inside longer ones after words that a rolling
-hash of the last two words selects (one in ``LINE_WORDS``). A rolling hash over the last two line
-hashes then selects the chunk boundaries (one in ``CHUNK_LINES``). Both depend on near content only,
-so a passage yields the same chunks wherever it stands. Chunks whose hash occurs more than once are
-matched with their first occurrence; runs of matched chunks are compared byte for byte and extended
-over the equal words around them. A repeated run of ``MIN_WORDS`` or more words is removed everywhere
-but at its first occurrence.
+"""Line dedup by content-defined lines and windows of words.
+
+A text is re-broken into lines by a rolling hash of ``SEED_WORDS`` words: a line begins wherever that hash
+is the least (the last one of equals) among all that lie within some window of ``MIN_WORDS`` words. Whether
+a line begins depends on the window alone, so every window that stands in two places has a line begin at the
+same word of both, whatever surrounds it. The first words of lines that occur more than once mark the
+windows that may be repeated; these are matched with all others by 96 bits of hash of their bytes. Every
+window that occurs earlier in the corpus is removed, so no choice of a partner can lose a repeat.
 """
 
 from __future__ import annotations
@@ -23,52 +22,64 @@ from marlstone.llm.decontaminate import cut_spans
 from marlstone.llm.neardup import packed_by_bucket
 from marlstone.session import materialise, sized_broadcast, table
 
-LINE_WORDS = 3
-CHUNK_LINES = 2
 #: Words that a repeated run has at least, to be removed.
 MIN_WORDS = 50
-#: Runs of matched chunks are compared if they hold so many words. The ends of a passage lie in partial
-#: chunks (6 words on average) that the comparison adds, so runs stay shorter than their passage.
+#: Words at the begin of a line that are looked up.
 SEED_WORDS = 14
-#: Bytes of context around a run that the comparison may add on either side.
-CONTEXT = 320
 
-PLACE = (("doc", np.int64), ("start", np.int32), ("end", np.int32), ("word", np.int32), ("words", np.int32))
-SPANS = "doc_id long, start int, end int, n_words int, first_doc_id long"
+SEEDS = (("doc", np.int64), ("word", np.int32))
+WINDOWS = (("check", np.uint32), ("doc", np.int64), ("text_hash", np.int64), ("word", np.int32), ("start", np.int32), ("chars", np.int32))
+#: Rows that a task packs together.
+PACK = 1_000_000
 
 
-def chunk_block(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, (start, end) bytes within the row, (first word, words)) of all chunks of a block of texts."""
+def line_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the first SEED_WORDS words, row, word within the row) of the lines of a block of texts."""
     s, e = W.split(buf, W.NOT_SPACE)
-    n = len(s)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2), np.int64), np.empty((0, 2), np.int64)
-    h = W.span_hash(buf, s, e)
     cut = W.rows_of(off, s)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(cut))
-    last = np.zeros(n, bool)
-    last[cut[1:][cut[1:] > cut[:-1]] - 1] = True
-    two = h.copy()
-    two[1:] = W.mix(h[1:] + h[:-1] * np.uint64(0x9E3779B97F4A7C15))
-    newline = np.zeros(n, bool)  # a newline stands between this word and the next
-    lines = np.flatnonzero(buf == 10)
-    newline[np.searchsorted(s, lines) - 1] = True
-    line_end = last | newline | (two % np.uint64(LINE_WORDS) == 0)
-    le = np.flatnonzero(line_end)
-    ls = np.insert(le[:-1] + 1, 0, 0)
-    lh = W.span_hash(buf, s[ls], e[le])
-    roll = lh.copy()
-    roll[1:] = W.mix(lh[1:] * np.uint64(3) + lh[:-1])
-    chunk_end = last[le] | (roll % np.uint64(CHUNK_LINES) == 0)
-    ce = le[np.flatnonzero(chunk_end)]
-    cs = np.insert(ce[:-1] + 1, 0, 0)
-    r = row[cs]
-    span = np.stack([s[cs] - off[r], e[ce] - off[r]], axis=1)
-    return W.span_hash(buf, s[cs], e[ce]), r, span, np.stack([cs - cut[r], ce + 1 - cs], axis=1)
-
-
-def _spread(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), *((n, pa.binary()) for n, _ in PLACE)])
+    if len(s) < MIN_WORDS:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = W.span_hash(buf, s[: len(s) - SEED_WORDS + 1], e[SEED_WORDS - 1 :])
+    n = MIN_WORDS - SEED_WORDS + 1
+    first = np.arange(len(h) - n + 1)
+    first = first[first + MIN_WORDS <= cut[np.searchsorted(cut, first, side="right")]]  # windows within one row
+    seen = np.lib.stride_tricks.sliding_window_view(h, n)[first]
+    at = np.unique(first + n - 1 - np.argmin(seen[:, ::-1], axis=1))
+    row = np.searchsorted(cut, at, side="right") - 1
+    return h[at], row, at - cut[row]
+
+
+def window_block(buf: np.ndarray, off: np.ndarray, wants: list) -> tuple[np.ndarray, ...]:
+    """(hash, check, row, word, start, characters) of the windows of a block that hold a wanted seed of their row."""
+    s, e = W.split(buf, W.NOT_SPACE)
+    cut = W.rows_of(off, s)
+    row = np.repeat(np.arange(len(wants)), [len(w) for w in wants])
+    seed = cut[row] + np.concatenate([np.asarray(w, np.int64) for w in wants])
+    low = np.maximum(seed - (MIN_WORDS - SEED_WORDS), cut[row])
+    high = np.minimum(seed, cut[row + 1] - MIN_WORDS) + 1
+    low, high = low[high > low], high[high > low]
+    open_ = np.bincount(low, minlength=len(s) + 1) - np.bincount(high, minlength=len(s) + 1)
+    at = np.flatnonzero(np.cumsum(open_) > 0)
+    row = np.searchsorted(cut, at, side="right") - 1
+    begin, end = s[at], e[at + MIN_WORDS - 1]
+    chars = np.insert(np.cumsum((buf & 0xC0) != 0x80), 0, 0)
+    check = (W.span_hash(~buf, begin, end) >> np.uint64(32)).astype(np.uint32)
+    return W.span_hash(buf, begin, end), check, row, at - cut[row], chars[begin] - chars[off[row]], chars[end] - chars[begin]
+
+
+def planes(raw: bytes, size: int) -> bytes:
+    """Values of ``size`` bytes as all their first bytes, all their second ones and so on: the empty high bytes compress."""
+    return np.frombuffer(raw, np.uint8).reshape(-1, size).T.tobytes()
+
+
+def values(raw: bytes, kind: type) -> np.ndarray:
+    """What ``planes`` packed."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def _spread(buckets: int, columns: tuple, found):
+    """Rows (bucket, keys, columns ...) of arrays packed in ``planes`` from what ``found`` yields for each batch."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), *((n, pa.binary()) for n, _ in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -77,156 +88,90 @@ def _spread(buckets: int):
         def flush() -> pa.RecordBatch:
             rows = packed_by_bucket(buckets, *(np.concatenate(c) for c in zip(*held)))
             held.clear()
+            rows = [(b, key, *(planes(c, np.dtype(t).itemsize) for c, (_, t) in zip(place, columns))) for b, key, *place in rows]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _hi, buf, off in W.blocks(batch.column(1), lower=False):
-                h, row, span, word = chunk_block(buf, off)
-                held.append((h, ids[lo + row], *(x.astype(np.int32) for x in (span[:, 0], span[:, 1] - span[:, 0], word[:, 0], word[:, 1]))))
-                size += len(h)
-            if size >= 1_000_000:
-                yield flush()
-                size = 0
+            for key, *place in found(batch):
+                held.append((key, *(c.astype(t) for c, (_, t) in zip(place, columns))))
+                size += len(key)
+                if size >= PACK:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences after the first of each chunk hash, with the place of the first."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(len(PLACE) + 1)]
-    for batch in batches:
-        for i, kind in enumerate((np.uint64, *(t for _, t in PLACE))):
-            parts[i] += [np.frombuffer(x, kind) for x in batch.column(i + 1).to_pylist()]
-    if not parts[0]:
-        return
-    key, *place = map(np.concatenate, parts)
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    hit = np.append(same, False) | np.insert(same, 0, False)
-    key, place = key[hit], [c[order[hit]] for c in place]
-    if not len(key):
-        return
-    order = np.lexsort((place[1], place[0], key))
-    key, place = key[order], [c[order] for c in place]
-    first = np.insert(key[1:] != key[:-1], 0, True)
-    at = np.flatnonzero(first)[np.cumsum(first) - 1]
-    doc, start = place[0][at], place[1][at]
-    later = (place[0] != doc) | (place[1] != start)  # repeated rows give equal places: one document
-    if later.any():
-        place[2] = place[1] + place[2]
-        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (*place, doc, start)], names=[*(n for n, _ in PLACE), "first_doc", "first_start"])
+def _seeds(batch: pa.RecordBatch) -> Iterator[tuple]:
+    ids = batch.column(0).to_numpy()
+    for lo, _hi, buf, off in W.blocks(batch.column(1), lower=False):
+        key, row, word = line_starts(buf, off)
+        yield key, ids[lo + row], word
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of consecutive chunks that match consecutive chunks of one document."""
-    table_ = pa.Table.from_batches(list(batches))
-    if not len(table_):
-        return
-    c = {n: table_.column(n).to_numpy() for n in table_.column_names}
-    doc, start, end, word, n = c["doc"], c["start"], c["end"], c["word"], c["words"]
-    along = (doc[1:] == doc[:-1]) & (word[1:] == word[:-1] + n[:-1]) & (c["first_doc"][1:] == c["first_doc"][:-1]) & (start[1:] - c["first_start"][1:] == start[:-1] - c["first_start"][:-1])
-    s = np.flatnonzero(np.insert(~along, 0, True))
-    e = np.append(s[1:], len(doc)) - 1
-    w0, w1 = word[s], word[e] + n[e]
-    keep = w1 - w0 >= SEED_WORDS
-    s, e = s[keep], e[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[s], start[s], end[e], w0[keep], w1[keep], c["first_doc"][s], c["first_start"][s])], names=["doc", "start", "end", "w0", "w1", "first_doc", "first_start"])
+def _windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    ids, hashes, wants = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+    for lo, hi, buf, off in W.blocks(batch.column(2), lower=False):
+        key, check, row, word, start, chars = window_block(buf, off, [wants[r].values.to_numpy() for r in range(lo, hi)])
+        yield key, check, ids[lo + row], hashes[lo + row], word, start, chars
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted span, with the context on either side, keyed by the run that wants it."""
-    schema = pa.schema([*((n, pa.int64() if "doc" in n else pa.int32()) for n in ("doc", "start", "first_doc", "first_start", "w0", "w1")), ("chars", pa.int32()), ("text_hash", pa.int64()), ("before", pa.binary()), ("mid", pa.binary()), ("after", pa.binary())])
-    for batch in batches:
-        rows: list[tuple] = []
-        for key, text, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = text.encode()
-            for w in wants:
-                s, e = w["at"], w["to"]
-                chars = len(raw[:s].decode(errors="ignore")) if w["w1"] >= 0 else -1
-                rows.append((w["doc"], w["start"], w["first_doc"], w["first_start"], w["w0"], w["w1"], chars, key, raw[max(0, s - CONTEXT) : s], raw[s:e], raw[e : e + CONTEXT]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-
-def common_suffix(a: bytes, b: bytes) -> int:
-    """Bytes that both end with, back to a whole word on both sides."""
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8)[len(a) - n :][::-1], np.frombuffer(b, np.uint8)[len(b) - n :][::-1]
-    bad = np.flatnonzero(x != y)
-    k = int(bad[0]) if len(bad) else n
-    while k and not ((k == len(a) or a[len(a) - k - 1 : len(a) - k].isspace()) and (k == len(b) or b[len(b) - k - 1 : len(b) - k].isspace())):
-        k -= 1
-    return k
-
-
-def common_prefix(a: bytes, b: bytes) -> int:
-    """Bytes that both begin with, up to a whole word on both sides."""
-    n = min(len(a), len(b))
-    bad = np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8))
-    k = int(bad[0]) if len(bad) else n
-    while k and not ((k == len(a) or a[k : k + 1].isspace()) and (k == len(b) or b[k : k + 1].isspace())):
-        k -= 1
-    return k
-
-
-def _chars(raw: bytes) -> int:
-    """Characters of bytes cut at words, that is, at whole characters."""
-    return len(raw.decode(errors="ignore"))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose bytes are those of the first occurrence, extended over the equal words around them.
-
-    The rows of a run stand together: those of the first occurrence have w1 -1 and come first.
-    """
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    now, firsts = None, []
+def _unpack(batches: Iterator[pa.RecordBatch], columns: tuple) -> list[np.ndarray] | None:
+    """The key and columns of packed rows whose key occurs more than once, by key."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(columns) + 1)]
     for batch in batches:
-        out: list[tuple] = []
-        for doc, s, first, fs, w0, w1, chars, key, before, mid, after in zip(*(c.to_pylist() for c in batch.columns)):
-            if now != (doc, s, first, fs):
-                now, firsts = (doc, s, first, fs), []
-            if w1 < 0:
-                firsts.append((before, mid, after))
-                continue
-            for f0, f1, f2 in firsts:
-                if f1 == mid:
-                    left = before[len(before) - common_suffix(f0, before) :]
-                    right = after[: common_prefix(f2, after)]
-                    begin = chars - _chars(left)
-                    out.append((doc, key, begin, chars + _chars(mid + right), w0 - len(left.split()), w1 + len(right.split()), first))
-                    break
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc", "text_hash", "start", "end", "w0", "w1", "first_doc"])
+        parts[0] += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        for i, (_, kind) in enumerate(columns, 1):
+            parts[i] += [values(x, kind) for x in batch.column(i + 1).to_pylist()]
+    if not parts[0]:
+        return None
+    out = [np.concatenate(p) for p in parts]
+    order = np.argsort(out[0])
+    key = out[0][order]
+    same = key[1:] == key[:-1]
+    order = order[np.append(same, False) | np.insert(same, 0, False)]
+    return [c[order] for c in out] if len(order) else None
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unite the spans of a document that overlap or adjoin in words; those with enough words remain."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    now: list | None = None
+def _repeated_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the seeds that occur more than once."""
+    found = _unpack(batches, SEEDS)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[1:]], names=[n for n, _ in SEEDS])
 
-    def closed(x: list | None) -> list[tuple]:
-        return [(x[0], x[1], x[2], x[3], x[5] - x[4], x[6])] if x and x[5] - x[4] >= MIN_WORDS else []
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id"])
+def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of windows after the first, by doc_id, text and place, with the document of the first."""
+    found = _unpack(batches, WINDOWS)
+    if not found:
+        return
+    order = np.lexsort((found[4], found[3], found[2], found[1], found[0]))
+    key, check, doc, text, word, start, chars = (c[order] for c in found)
+    head = np.insert((key[1:] != key[:-1]) | (check[1:] != check[:-1]), 0, True)
+    at = np.flatnonzero(head)[np.cumsum(head) - 1]
+    new = np.insert((doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (word[1:] != word[:-1]), 0, True)  # repeated rows give equal places: one document
+    later = ((doc != doc[at]) | (text != text[at]) | (word != word[at])) & (new | head)
+    if later.any():
+        columns = (doc, text, word, start, start + chars, doc[at])
+        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in columns], names=["doc", "text_hash", "word", "start", "end", "first_doc"])
+
 
-    for batch in batches:
-        out: list[tuple] = []
-        for x in map(list, zip(*(c.to_pylist() for c in batch.columns))):
-            if now and x[:2] == now[:2] and x[4] <= now[5]:
-                now[3], now[5], now[6] = max(now[3], x[3]), max(now[5], x[5]), min(now[6], x[6])
-            else:
-                out += closed(now)
-                now = x
-        if out:
-            yield batch_of(out)
-    if rows := closed(now):
-        yield batch_of(rows)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unite the windows of a text that overlap or adjoin in words."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    c = {n: whole.column(n).to_numpy() for n in whole.column_names}
+    order = np.lexsort((c["word"], c["text_hash"], c["doc"]))
+    doc, text, word, start, end, first = (c[n][order] for n in ("doc", "text_hash", "word", "start", "end", "first_doc"))
+    along = (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (word[1:] <= word[:-1] + MIN_WORDS)
+    s = np.flatnonzero(np.insert(~along, 0, True))
+    e = np.append(s[1:], len(doc)) - 1
+    columns = (doc[s], text[s], start[s], end[e], (word[e] + MIN_WORDS - word[s]).astype(np.int32), np.minimum.reduceat(first, s))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id"])
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -234,27 +179,26 @@ def _spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.mapInArrow(_spread(buckets), "bucket int, keys binary, " + ", ".join(f"{n} binary" for n, _ in PLACE))
-    repeats = spread.repartition("bucket").mapInArrow(_repeats, "doc long, start int, end int, word int, words int, first_doc long, first_start int")
-    repeats = repeats.repartition("doc").sortWithinPartitions("doc", "start")
-    runs = materialise(spark, repeats.mapInArrow(_runs, "doc long, start int, end int, w0 int, w1 int, first_doc long, first_start int"), "runs")
-    key = ["doc", "start", "first_doc", "first_start"]
-    mine = runs.select(F.col("doc").alias("doc_id"), F.struct(*key, "w0", "w1", F.col("start").alias("at"), F.col("end").alias("to")).alias("want"))
-    theirs = runs.select(F.col("first_doc").alias("doc_id"), F.struct(*key, F.lit(0).alias("w0"), F.lit(-1).alias("w1"), F.col("first_start").alias("at"), F.expr("first_start + end - start").alias("to")).alias("want"))
-    wants = mine.unionByName(theirs).groupBy("doc_id").agg(F.collect_list("want").alias("wants"))
-    ids = runs.select(F.explode(F.array("doc", "first_doc")).alias("doc_id")).distinct()
-    affected = texts.join(sized_broadcast(materialise(spark, ids, "ids"), 16), "doc_id", "left_semi").join(wants, "doc_id")
-    slices = affected.select(F.xxhash64("text").alias("text_hash"), "text", "wants").mapInArrow(_slices, "doc long, start int, first_doc long, first_start int, w0 int, w1 int, chars int, text_hash long, before binary, mid binary, after binary")
-    pairs = slices.repartition(*key).sortWithinPartitions(*key, "w1")
-    same = pairs.mapInArrow(_compare, "doc long, text_hash long, start int, end int, w0 int, w1 int, first_doc long")
-    return same.repartition("doc").sortWithinPartitions("doc", "text_hash", "w0").mapInArrow(_merge, "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long")
+
+    def packed(columns: tuple) -> str:
+        return "bucket int, keys binary, " + ", ".join(f"{n} binary" for n, _ in columns)
+
+    seeds = texts.mapInArrow(_spread(buckets, SEEDS, _seeds), packed(SEEDS)).repartition("bucket").mapInArrow(_repeated_seeds, "doc long, word int")
+    wants = materialise(spark, seeds.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("word").alias("wants")), "wants")
+    affected = texts.join(sized_broadcast(wants.select("doc_id"), 16), "doc_id", "left_semi").join(wants, "doc_id")
+    affected = affected.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "wants")
+    windows = affected.mapInArrow(_spread(buckets, WINDOWS, _windows), packed(WINDOWS)).repartition("bucket")
+    repeats = windows.mapInArrow(_repeated_windows, "doc long, text_hash long, word int, start int, end int, first_doc long")
+    return repeats.repartition("doc").mapInArrow(_merge, "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans of ``docs`` to remove: doc_id, start, end, n_words, first_doc_id.
 
-    start and end are character offsets. The first occurrence, by doc_id and place, is not in the
-    result and stays. Repeats within one document count as well. Null and empty texts and rows with a
+    A span is a union of windows of ``MIN_WORDS`` words that each stand earlier in the corpus with the same
+    bytes; all of these are found. start and end are character offsets. The first occurrence, by doc_id and
+    place, is not in the result and stays. Repeats within one document count as well; of a block that is
+    one line again and again the first line stays. Null and empty texts and rows with a
     null doc_id have no spans. Repeated rows (equal doc_id and text) count as one document and do not
     repeat each other; rows that share a doc_id but not the text each have the spans found in them.
     Further columns are ignored; an empty table gives an empty result.

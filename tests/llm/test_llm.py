@@ -491,6 +491,23 @@ def test_line_dedup_edges(spark):
     assert [t.split() for (i, t) in out if i == 3] == [["before", "after"]] and out[4, None] == 1
 
 
+def test_blocks_of_a_repeated_line_go(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8))) for _ in range(n))
+    texts, lines = [], []
+    for n, times in ((1, 120), (2, 92), (3, 40), (8, 12), (12, 10)):
+        for _ in range(4):
+            line = prose(n)
+            lines.append((len(texts), (line + "\n") * times))
+            texts += [f"{prose(20)}\n{(line + chr(10)) * times}{prose(20)}" for _ in range(2)]
+    out = {r.doc_id: r.text for r in linededup.remove_repeats(docs_of(spark, texts)).collect()}
+    for i, block in lines:
+        a, b = texts[i].split(block)
+        assert out[i].split() == (a + block.split("\n")[0] + " " + b).split()  # within a document the first line stays
+        a, b = texts[i + 1].split(block)
+        assert out[i + 1].split() == (a + b).split()
+
+
 # the pipeline
 
 
