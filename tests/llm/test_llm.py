@@ -508,6 +508,36 @@ def test_blocks_of_a_repeated_line_go(spark):
         assert out[i + 1].split() == (a + b).split()
 
 
+def test_no_repeated_window_stays(spark, docs, texts):
+    """All 50-word passages are found, short ones behind a corpus too, and every removed word is in a repeated window."""
+    rng = random.Random(6)
+    vocabulary = sorted({w for t in texts.values() for w in (t or "").split()})
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    first = max(texts) + 1
+    planted = []
+    for i in range(0, 600, 2):
+        passage = prose(rng.choice([50, 51, 55]))
+        planted += [(first + i + k, f"{prose(30)} {passage} {prose(30)}") for k in range(2)]
+    rows = docs.select(*COLUMNS).unionByName(docs_of(spark, planted))
+    seen, want = set(), {}
+    for i, t in sorted([*texts.items(), *planted]):
+        at = [m.span() for m in re.finditer(r"[^\t-\r ]+", t or "")]
+        gone = np.zeros(len(at), bool)
+        for k in range(len(at) - 49):
+            window = t[at[k][0] : at[k + 49][1]]
+            gone[k : k + 50] |= window in seen
+            seen.add(window)
+        if gone.any():
+            want[i] = [at[k] for k in np.flatnonzero(gone)]
+    got = defaultdict(list)
+    for r in linededup.repeated_spans(rows).orderBy("doc_id", "start").collect():
+        t = texts.get(r.doc_id) or dict(planted)[r.doc_id]
+        inside = [(r.start + m.start(), r.start + m.end()) for m in re.finditer(r"[^\t-\r ]+", t[r.start : r.end])]
+        assert len(inside) == r.n_words >= 50
+        got[r.doc_id] += inside
+    assert sum(i >= first for i in want) == 300 and got == want
+
+
 # the pipeline
 
 
