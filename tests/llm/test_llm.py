@@ -538,6 +538,20 @@ def test_no_repeated_window_stays(spark, docs, texts):
     assert sum(i >= first for i in want) == 300 and got == want
 
 
+def test_repeated_rows_lose_what_one_row_loses(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8))) for _ in range(n))
+    rows, parts = [], {}
+    for i in range(1, 400, 4):
+        passage, *ends = prose(52), *(prose(20) for _ in range(6))
+        a, b, c, d, e, f = parts[i] = ends
+        rows += [(i, f"{prose(20)} {passage} {prose(20)}"), (i + 1, f"{a} {passage} {b}"), (i + 1, f"{a} {passage} {b}")]
+        rows += [(i + 2, f"{c} {passage} {d}"), (i + 2, f"{e} {passage} {f}")]  # two texts under one doc_id
+    out = Counter((r.doc_id, " ".join(r.text.split())) for r in linededup.remove_repeats(docs_of(spark, rows)).collect())
+    for i, (a, b, c, d, e, f) in parts.items():
+        assert out[i + 1, f"{a} {b}"] == 2 and out[i + 2, f"{c} {d}"] == 1 and out[i + 2, f"{e} {f}"] == 1
+
+
 # the pipeline
 
 
