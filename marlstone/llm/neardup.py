@@ -28,7 +28,8 @@ RATE = 20.0
 BANDS, ROWS = 32, 4
 #: Verified pairs have at least this Jaccard similarity of their shingle sets.
 THRESHOLD = 0.5
-#: A pair is verified if its estimate is above the threshold less this (about three standard errors).
+#: A pair is verified if its estimate is above the threshold less this (about three standard errors); a leader
+#: strikes a member off if it is above the threshold and this.
 SLACK = 0.13
 
 _POINTS = 4
@@ -198,12 +199,16 @@ def collisions(reps: DataFrame, buckets: int) -> DataFrame:
     return spreaded.repartition("bucket").mapInArrow(collide, "bucket_id long, rep long").dropDuplicates(["bucket_id", "rep"])
 
 
-def likely_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b): members of a bucket against its leaders, where the joint estimate is high enough.
+def likely_pairs(members: DataFrame, least: float, strike: float | None = None) -> DataFrame:
+    """Distinct (a, b, strong): members of a bucket against its leaders, where the joint estimate is at least ``least``.
 
-    A member joins every leader that it resembles and becomes a leader if there is none, so no member of
-    a bucket goes uncompared and a bucket of n copies costs n comparisons.
+    A member joins every leader that it resembles and becomes a leader if the estimate is below ``strike``
+    (``least`` if None) with all of them, so a bucket of n copies costs n comparisons. strong tells that it was not.
+    Members with a true ``firm`` (if there is the column) are always leaders.
     """
+    strike = least if strike is None else strike
+    if "firm" not in members.columns:
+        members = members.withColumn("firm", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lead_id, lead_k, lead_n = None, [], [], []
@@ -213,6 +218,7 @@ def likely_pairs(members: DataFrame, least: float) -> DataFrame:
             bucket, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(rep), -1)
             n = cardinality(k)
+            firm = batch.column(3).to_numpy(zero_copy_only=False)
             pairs: list[np.ndarray] = []
             starts = np.flatnonzero(np.insert(bucket[1:] != bucket[:-1], 0, True))
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
@@ -225,8 +231,9 @@ def likely_pairs(members: DataFrame, least: float) -> DataFrame:
                         return
                     j = joint_estimate(k[lo:e], np.broadcast_to(kk, (e - lo, len(kk))), n[lo:e], np.full(e - lo, nn))
                     hit = np.flatnonzero(j >= least) + lo
-                    free[hit - s] = False
-                    pairs.append(np.stack([np.full(len(hit), i), rep[hit]], axis=1))
+                    strong = j[hit - lo] >= strike
+                    free[hit[strong & ~firm[hit]] - s] = False
+                    pairs.append(np.stack([np.full(len(hit), i), rep[hit], strong], axis=1))
 
                 for i, kk, nn in zip(lead_id, lead_k, lead_n):
                     against(i, kk, nn, s)
@@ -234,12 +241,12 @@ def likely_pairs(members: DataFrame, least: float) -> DataFrame:
                     if free[r - s]:
                         lead_id.append(rep[r]), lead_k.append(k[r].copy()), lead_n.append(n[r])
                         against(rep[r], k[r], n[r], r + 1)
-            found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+            found = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] > 0)], names=["a", "b", "strong"])
 
-    placed = members.select("bucket_id", "rep", "sketch").repartition("bucket_id").sortWithinPartitions("bucket_id", "rep")
-    return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    placed = members.select("bucket_id", "rep", "sketch", "firm").repartition("bucket_id").sortWithinPartitions("bucket_id", "rep")
+    return placed.mapInArrow(run, "a long, b long, strong boolean").where("a <> b").distinct()
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -275,6 +282,30 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def edges_of(found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The verified (a, b) of the members of buckets (bucket_id, rep).
+
+    Members that a leader struck off without being verified as its like become leaders, until there are none.
+    """
+    spark = docs.sparkSession
+    sketch = reps.select("rep", "sketch")
+    pairs = materialise(spark, likely_pairs(found.join(sketch, "rep"), threshold - SLACK, threshold + SLACK), "pairs")
+    seen, firm = pairs, None
+    edges = materialise(spark, verified(pairs, docs, threshold), "verified")
+    while True:
+        failed = pairs.where("strong").join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("rep")).distinct()
+        new = materialise(spark, failed if firm is None else failed.join(firm, "rep", "left_anti"), "failed")
+        if new.isEmpty():
+            return edges
+        firm = new if firm is None else firm.unionByName(new)
+        open_ = found.join(found.join(new, "rep", "left_semi").select("bucket_id").distinct(), "bucket_id", "left_semi")
+        members = open_.join(sketch, "rep").join(firm.withColumn("firm", F.lit(True)), "rep", "left").withColumn("firm", F.coalesce("firm", F.lit(False)))
+        more = likely_pairs(members, threshold - SLACK, threshold + SLACK)
+        pairs = materialise(spark, more.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(pairs)
+        edges = materialise(spark, edges.unionByName(verified(pairs, docs, threshold)), "verified")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes with an edge: the least node of each component, by alternating large and small stars."""
     edges = materialise(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -313,9 +344,7 @@ def _groups(spark: SparkSession, docs: DataFrame, sketches: DataFrame, threshold
     reps = materialise(spark, reps, "reps")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialise(spark, collisions(reps, buckets), "collisions")
-    pairs = likely_pairs(found.join(reps.select("rep", "sketch"), "rep"), threshold - SLACK)
-    pairs = materialise(spark, pairs, "pairs")
-    roots = components(spark, verified(pairs, docs, threshold))
+    roots = components(spark, edges_of(found, reps, docs, threshold))
     grouped = reps.select("fp", "rep", "n").join(roots.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null")
     grouped = grouped.select("fp", F.coalesce("root", "rep").alias("group_id"))
     out = sketches.select("doc_id", "fp").join(grouped, "fp").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

@@ -339,6 +339,29 @@ def test_groups_equal_brute_force(spark, docs, texts):
     assert all(want.get(i) == g for i, g in got.items())
 
 
+def test_members_that_fail_verification_are_compared(spark):
+    """One bucket; the leader resembles both members with less than the threshold, they resemble each other."""
+    rng = random.Random(21)
+    word = lambda n: ["".join(rng.choices("abcdefghijklmno", k=7)) for _ in range(n)]
+    found, rows = [], []
+    for g in range(0, 60, 3):
+        passage = word(200)
+        texts = [passage + word(235)] + [passage + word(10) for _ in range(2)]
+        rows += [(g + i, " ".join(t)) for i, t in enumerate(texts)]
+        found += [(g, g + i) for i in range(3)]
+    docs = docs_of(spark, rows)
+    buckets = spark.createDataFrame(found, "bucket_id long, rep long").collect()
+    pairs = [(g, g + i) for g, i in ((g, i) for g in range(0, 60, 3) for i in (1, 2))]
+    neardup_collisions, neardup.collisions = neardup.collisions, lambda *_: spark.createDataFrame(buckets)
+    try:
+        got = {r.doc_id: r.group_id for r in neardup.near_groups(docs).collect()}
+    finally:
+        neardup.collisions = neardup_collisions
+    sets = shingle_sets([t for _, t in rows])
+    assert all(0.37 < neardup.jaccard(sets[a], sets[b]) < 0.5 for a, b in pairs)
+    assert got == {g + i: g + 1 for g in range(0, 60, 3) for i in (1, 2)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 12)] + [(30, 20), (20, 25), (25, 20)]
     got = {r.node: r.root for r in neardup.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
