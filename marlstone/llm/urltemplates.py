@@ -1,8 +1,8 @@
 """URL filters by a path-template tree.
 
 Each host has a tree of path segments. A segment that is a number, a hash, a date or the like is a wildcard
-from the start; where a node has more than ``MAX_CHILDREN`` different children they become one wildcard
-too. Sibling branches whose labels do not differ statistically are merged. The leaves are the host's
+from the start; where a node has more than ``MAX_CHILDREN`` different children, those with too few labels
+to be rejected by themselves become one wildcard too. Sibling branches whose labels do not differ statistically are merged. The leaves are the host's
 templates, and a template is rejected if its smoothed share of good labels is low.
 """
 
@@ -43,6 +43,8 @@ def url_parts(pages: DataFrame) -> DataFrame:
 def generalise(paths: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
     """host, segs, n, good, bad, template: level by level, the children of crowded nodes become wildcards.
 
+    Children with so many labels that bad ones alone could reject them stay, to be merged by their labels.
+
     ``paths`` has one row for each host and list of segments, with its counts.
     """
     spark = paths.sparkSession
@@ -51,10 +53,13 @@ def generalise(paths: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
     for k in range(1, depth + 1):
         here = now.where(F.size("template") >= k)
         node = F.slice("template", 1, k - 1)
-        crowded = here.groupBy("host", node.alias("node")).agg(F.countDistinct(F.element_at("template", k)).alias("kinds")).where(F.col("kinds") > max_children).select("host", "node", F.lit(True).alias("crowded"))
-        marked = now.withColumn("node", F.when(F.size("template") >= k, node)).join(crowded, ["host", "node"], "left")
+        children = here.groupBy("host", node.alias("node"), F.element_at("template", k).alias("child")).agg(F.sum(F.col("good") + F.col("bad")).alias("labelled"))
+        crowded = children.groupBy("host", "node").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).select("host", "node")
+        small = children.where(F.col("labelled") <= PRIOR * (1 / MIN_PURITY - 1)).join(crowded, ["host", "node"]).select("host", "node", "child", F.lit(True).alias("crowded"))
+        keys = now.withColumn("node", F.when(F.size("template") >= k, node)).withColumn("child", F.when(F.size("template") >= k, F.element_at("template", k)))
+        marked = keys.join(small, ["host", "node", "child"], "left")
         wild = F.concat(node, F.array(F.lit("*")), F.slice("template", k + 1, F.size("template")))
-        now = marked.withColumn("template", F.when(F.col("crowded"), wild).otherwise(F.col("template"))).drop("node", "crowded")
+        now = marked.withColumn("template", F.when(F.col("crowded"), wild).otherwise(F.col("template"))).drop("node", "child", "crowded")
         now = materialise(spark, now, "paths")
     return now
 

@@ -448,6 +448,15 @@ def test_templates_and_purity(spark):
     assert urltemplates.filter_urls(pages, labels.limit(0)).where("not keep").count() == 0
 
 
+def test_rejected_section_among_many_good_ones(spark):
+    sections = [f"good{c}" for c in "abcdefghijklmnopqrst"] + ["spam"]
+    rows = [(20 * i + j, f"https://h.example/{s}/{j}") for i, s in enumerate(sections) for j in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("spam" not in u)) for i, u in rows], "page_id long, good int")
+    out = {r.page_id: r.keep for r in urltemplates.filter_urls(pages, labels).collect()}
+    assert all(out[i] == ("spam" not in u) for i, u in rows)
+
+
 def test_wildcards_equal_brute_force(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: (r.host, r.segs) for r in urltemplates.url_parts(pages).collect()}
