@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: A side of a join is broadcast only when its row count times the bytes a row takes stays below this.
 BROADCAST_BYTES = 64 << 20
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests in local mode) a temporary folder is set once per session.
+    Where none is named, a temporary folder is set once per session in local mode; on a cluster that is an error,
+    since no other machine could read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,12 +52,29 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/marlstone-{tag}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of ``df`` when its counted size is small; otherwise leave a shuffle join.
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more; None is passed over."""
+    for df in tables:
+        if df is not None and getattr(df, "_scratch", None):
+            _delete(df.sparkSession, df._scratch)
 
-    ``df`` should be cheap to count (a written table: Parquet footers answer).
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row of ``df`` takes in memory, from the lengths of what it holds."""
+    flat = sum(f.dataType.jsonValue() not in ("string", "binary") for f in df.schema)
+    held = [F.coalesce(F.length(f.name), F.lit(0)) if f.dataType.jsonValue() in ("string", "binary") else F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    return sum(held, F.lit(24 + 16 * len(df.schema) + 8 * flat))
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` when the measured size of its rows is small; otherwise leave a shuffle join.
+
+    ``df`` should be cheap to read (a written table).
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
