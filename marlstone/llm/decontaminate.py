@@ -292,7 +292,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     by = materialise(spark, by, "spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = base.join(sized_broadcast(by, 120), on, "left")
+    joined = base.join(sized_broadcast(by), on, "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):

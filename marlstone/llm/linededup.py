@@ -185,7 +185,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     seeds = texts.mapInArrow(_spread(buckets, SEEDS, _seeds), packed(SEEDS)).repartition("bucket").mapInArrow(_repeated_seeds, "doc long, word int")
     wants = materialise(spark, seeds.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("word").alias("wants")), "wants")
-    affected = texts.join(sized_broadcast(wants.select("doc_id"), 16), "doc_id", "left_semi").join(wants, "doc_id")
+    affected = texts.join(sized_broadcast(wants.select("doc_id")), "doc_id", "left_semi").join(wants, "doc_id")
     affected = affected.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "wants")
     windows = affected.mapInArrow(_spread(buckets, WINDOWS, _windows), packed(WINDOWS)).repartition("bucket")
     repeats = windows.mapInArrow(_repeated_windows, "doc long, text_hash long, word int, start int, end int, first_doc long")

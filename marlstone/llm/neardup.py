@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = materialise(spark, ids, "ids")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized_broadcast(ids, 16), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized_broadcast(ids), "id", "left_semi")
     texts = materialise(spark, texts, "texts")
     two = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = two.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -363,10 +363,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     drop = _groups(spark, docs, sketches, threshold).where("doc_id <> group_id").select("doc_id")
     drop = materialise(spark, drop, "drop")
     repeated = materialise(spark, sketches.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = base.join(sized_broadcast(drop, 16), "doc_id", "left_anti")
+    kept = base.join(sized_broadcast(drop), "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept
-    ids = sized_broadcast(repeated, 16)
+    ids = sized_broadcast(repeated)
     once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(ids, "doc_id", "left_anti").unionByName(once)
 

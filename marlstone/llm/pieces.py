@@ -27,6 +27,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK_BYTES = 2 << 20
 CACHE_WORDS = 1_500_000
+#: Fewer words of one length than this are walked through the lattice one by one: arrays would be too short to pay.
+FEW_WORDS = 32
 #: Pairs of pieces that are looked up one by one before they join the sorted ones.
 LATE_PAIRS = 4000
 
@@ -53,6 +55,7 @@ class Pieces:
         self.id = {self.text[i]: i for i in normal}
         reach = [i for i in normal if len(self.text[i]) == 1 or self.merge(self.text[i]) == [self.text[i]]]
         self.longest = max(len(self.text[i]) for i in reach)
+        self.reach = {self.text[i]: i for i in reach}
         rng = np.random.default_rng(11)
         self.table = rng.integers(1, 2**63, 1 << 12, dtype=np.uint64)
         keys = np.array([self.key(self.text[i]) for i in reach], np.uint64)
@@ -69,6 +72,7 @@ class Pieces:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.pair_keys, self.pair_ok = np.array([-1]), np.array([False])  # sorted; those met lately are in a dict
         self.late: dict[int, bool] = {}
+        self.beside: dict[int, bool] = {}
         self.encoder: Encoder | None = None
 
     def codes(self, chars: np.ndarray) -> np.ndarray:
@@ -125,6 +129,10 @@ class Pieces:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for size, who in by.items():
+            if size and len(who) < FEW_WORDS:
+                for i in who:
+                    out[i] = self._walk(words[i])
+                continue
             step = max(1, 2_000_000 // (size + 1))
             for s in range(0, len(who) if size else 0, step):
                 part = who[s : s + step]
@@ -132,6 +140,34 @@ class Pieces:
                     out[i] = ids
         return out
 
+    def _walk(self, word: str) -> np.ndarray:
+        """The piece ids of one word by the same lattice, in time linear in its length."""
+        n, longest, reach, beside = len(word), self.longest, self.reach, self.beside
+        last, back = [-1] * (n + 1), [1] * (n + 1)
+        if len(beside) > CACHE_WORDS:
+            beside.clear()
+        for i in range(1, n + 1):
+            for length in range(min(i, longest), 0, -1):
+                piece = reach.get(word[i - length : i])
+                if piece is None:
+                    continue
+                left = last[i - length]
+                if left >= 0:
+                    key = left << 32 | piece
+                    ok = beside.get(key)
+                    if ok is None:
+                        a, b = self.text[left], self.text[piece]
+                        ok = beside[key] = self.merge(a + b) == [a, b]
+                    if not ok:
+                        continue
+                last[i], back[i] = piece, length
+                break
+        ids, at = [], n
+        while at:
+            ids += [last[at]] if last[at] >= 0 else self.bytes[list(word[at - 1].encode())].tolist()[::-1]
+            at -= back[at]
+        return np.array(ids[::-1], np.int32)
+
     def _advance(self, words: list[str], size: int) -> Iterator[np.ndarray]:
         n = len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.int64)
@@ -273,7 +309,9 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     ids are those of the library's ``encode``. round_trip tells that decoding the ids gave the text
     back, byte for byte (a space mark U+2581 in a text counts as the space that it decodes to). A null
     text has null n_tokens, ids and round_trip; an empty one has no ids. Null doc_ids and repeated rows
-    are encoded like any other; further columns are ignored.
+    are encoded like any other; further columns are ignored; an empty table gives an empty result. Texts and
+    words of any length are encoded whole, in time linear in their length. There are no ties: each prefix of a
+    word has one admissible last piece.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model or model_path()))
     kind = pa.list_(pa.int32())

@@ -1,21 +1,22 @@
 """URL filters by a path-template tree.
 
 Each host has a tree of path segments. A segment that is a number, a hash, a date or the like is a wildcard
-from the start; where a node has more than ``MAX_CHILDREN`` different children, those with too few labels
-to be rejected by themselves become one wildcard too. Sibling branches whose labels do not differ statistically are merged. The leaves are the host's
-templates, and a template is rejected if its smoothed share of good labels is low.
+from the start; where the children of a node have few pages each, the segment is variable too, and the children
+with too few labels to be rejected by themselves become one wildcard. Sibling branches whose labels do not
+differ statistically are merged. The leaves are the host's templates, and a template is rejected if its
+smoothed share of good labels is low.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import materialise, sized_broadcast, table
+from marlstone.session import materialise, release, sized_broadcast, table
 
-#: A node with more different children than this has a variable segment.
-MAX_CHILDREN = 16
+#: A node with two children or more that have fewer pages than this in the mean has a variable segment.
+MEAN_PAGES = 4.0
 #: Siblings are merged if their label shares differ by fewer standard errors.
 MERGE_Z = 1.96
 #: Weight, in labels, of the mean over all labelled pages in a template's purity.
@@ -40,90 +41,106 @@ def url_parts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), segs.alias("segs"))
 
 
-def generalise(paths: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """host, segs, n, good, bad, template: level by level, the children of crowded nodes become wildcards.
+def branching(paths: DataFrame, above: int) -> int | None:
+    """The least level above the given one on which two templates of a host differ after equal segments."""
+    order = Window.partitionBy("host").orderBy("template")
+    pair = paths.select("host", "template").distinct().select("template", F.lag("template").over(order).alias("before")).where("before is not null")
+    differs = F.filter(F.sequence(F.lit(1), F.least(F.size("template"), F.size("before"))), lambda k: F.element_at("template", k.cast("int")) != F.element_at("before", k.cast("int")))
+    level = F.when(F.least(F.size("template"), F.size("before")) > 0, F.try_element_at(differs, F.lit(1)))
+    return pair.select(level.alias("level")).where(F.col("level") > above).agg(F.min("level")).first()[0]
 
-    Children with so many labels that bad ones alone could reject them stay, to be merged by their labels.
+
+def generalise(paths: DataFrame, mean_pages: float = MEAN_PAGES) -> DataFrame:
+    """host, segs, n, good, bad, template: variable segments, level by level, become wildcards.
+
+    A node's segment is variable if it has two children or more with less than ``mean_pages`` pages in the
+    mean. Its children with so many labels that bad ones alone could reject them stay, to be merged by their
+    labels. Only levels on which a host's templates branch are visited: on others there is nothing to generalise,
+    so that the length of a single URL costs nothing.
 
     ``paths`` has one row for each host and list of segments, with its counts.
     """
     spark = paths.sparkSession
     now = materialise(spark, paths.withColumn("template", F.col("segs")), "paths")
-    depth = now.agg(F.max(F.size("segs"))).first()[0] or 0
-    for k in range(1, depth + 1):
+    k = branching(now, 0)
+    while k is not None:
         here = now.where(F.size("template") >= k)
         node = F.slice("template", 1, k - 1)
-        children = here.groupBy("host", node.alias("node"), F.element_at("template", k).alias("child")).agg(F.sum(F.col("good") + F.col("bad")).alias("labelled"))
-        crowded = children.groupBy("host", "node").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).select("host", "node")
-        small = children.where(F.col("labelled") <= PRIOR * (1 / MIN_PURITY - 1)).join(crowded, ["host", "node"]).select("host", "node", "child", F.lit(True).alias("crowded"))
+        children = here.groupBy("host", node.alias("node"), F.element_at("template", k).alias("child")).agg(F.sum("n").alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labelled"))
+        variable = children.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > 1) & (F.col("n") < mean_pages * F.col("kinds"))).select("host", "node")
+        small = children.where(F.col("labelled") <= PRIOR * (1 / MIN_PURITY - 1)).join(variable, ["host", "node"]).select("host", "node", "child", F.lit(True).alias("wild"))
         keys = now.withColumn("node", F.when(F.size("template") >= k, node)).withColumn("child", F.when(F.size("template") >= k, F.element_at("template", k)))
         marked = keys.join(small, ["host", "node", "child"], "left")
         wild = F.concat(node, F.array(F.lit("*")), F.slice("template", k + 1, F.size("template")))
-        now = marked.withColumn("template", F.when(F.col("crowded"), wild).otherwise(F.col("template"))).drop("node", "child", "crowded")
-        now = materialise(spark, now, "paths")
+        after = marked.withColumn("template", F.when(F.col("wild") & ~F.col("child").startswith("?"), wild).otherwise(F.col("template"))).drop("node", "child", "wild")
+        before, now = now, materialise(spark, after, "paths")
+        release(before)
+        k = branching(now, k)
     return now
 
 
 class Node:
-    """A branch: its counts (pages, good, bad) at and below it, its children, and the templates within."""
+    """A branch: its counts (pages, good, bad) at and below it, its children, and the templates that end in it."""
 
     def __init__(self):
         self.n = self.good = self.bad = 0
         self.children: dict[str, Node] = {}
         self.templates: list[tuple[str, ...]] = []
 
-    def add(self, segs: tuple[str, ...], k: int, n: int, good: int, bad: int) -> None:
-        self.n, self.good, self.bad = self.n + n, self.good + good, self.bad + bad
-        if k == len(segs):
-            self.templates.append(segs)
-        else:
-            self.children.setdefault(segs[k], Node()).add(segs, k + 1, n, good, bad)
+    def add(self, segs: tuple[str, ...], n: int, good: int, bad: int) -> None:
+        at = self
+        for name in (*segs, None):
+            at.n, at.good, at.bad = at.n + n, at.good + good, at.bad + bad
+            if name is not None:
+                at = at.children.setdefault(name, Node())
+        at.templates.append(segs)
 
 
-def similar(a: Node, b: Node) -> bool:
-    """Whether two branches' label shares differ by less than MERGE_Z standard errors; unlabelled ones never differ."""
-    na, nb = a.good + a.bad, b.good + b.bad
+def similar(good_a: int, bad_a: int, good_b: int, bad_b: int) -> bool:
+    """Whether two branches' label shares differ by at most MERGE_Z standard errors; one without labels is
+    like others without labels only, so that it is never rejected for the labels of another."""
+    na, nb = good_a + bad_a, good_b + bad_b
     if not na or not nb:
-        return True
-    m = (a.good + b.good) / (na + nb)
-    return abs(a.good / na - b.good / nb) <= MERGE_Z * (m * (1 - m) * (1 / na + 1 / nb)) ** 0.5
+        return na == nb
+    m = (good_a + good_b) / (na + nb)
+    return abs(good_a / na - good_b / nb) <= MERGE_Z * (m * (1 - m) * (1 / na + 1 / nb)) ** 0.5
 
 
-def leaves(node: Node, path: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[str, ...]], int, int, int]]:
+def leaves(root: Node) -> list[tuple[str, list[tuple[str, ...]], int, int, int]]:
     """(merged template, templates in it, pages, good, bad) of a tree.
 
-    Siblings are taken with the most pages first and join the first group that they are similar to; leaves
-    of a group become one template with a wildcard, deeper branches are merged child by child.
+    Siblings are taken with the most pages first (ties by name) and join the first group that they are similar
+    to; leaves of a group become one template with a wildcard, deeper branches are merged child by child.
     """
     out = []
-    own = [t for t in node.templates]
-    if own:
-        n, good, bad = (getattr(node, a) - sum(getattr(c, a) for c in node.children.values()) for a in ("n", "good", "bad"))
-        out.append(("/" + "/".join(path), own, n, good, bad))
-    groups: list[tuple[list[str], Node]] = []
-    for name, child in sorted(node.children.items(), key=lambda x: (-x[1].n, x[0])):
-        for names, g in groups:
-            if (name[0] == "?") == (names[0][0] == "?") and similar(g, child):
-                names.append(name)
-                unite(g, child)
-                break
-        else:
-            copy = Node()
-            unite(copy, child)
-            groups.append(([name], copy))
-    for names, g in groups:
-        label = names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}"
-        out += leaves(g, (*path, label))
+    todo: list[tuple[list[Node], tuple[str, ...]]] = [([root], ())]  # merged branches stay lists of nodes: nothing is copied
+    while todo:
+        nodes, path = todo.pop()
+        kids: dict[str, list[Node]] = {}
+        for node in nodes:
+            for name, child in node.children.items():
+                kids.setdefault(name, []).append(child)
+        count = {name: tuple(sum(getattr(c, a) for c in cs) for a in ("n", "good", "bad")) for name, cs in kids.items()}
+        own = [t for node in nodes for t in node.templates]
+        if own:
+            n, good, bad = (sum(getattr(x, a) for x in nodes) - sum(c[i] for c in count.values()) for i, a in enumerate(("n", "good", "bad")))
+            out.append(("/" + "/".join(path), own, n, good, bad))
+        groups: list[tuple[list[str], list[Node], list[int]]] = []
+        for name in sorted(kids, key=lambda x: (-count[x][0], x)):
+            _, good, bad = count[name]
+            for names, members, labels in groups:
+                if (name[0] == "?") == (names[0][0] == "?") and similar(*labels, good, bad):
+                    names.append(name)
+                    members += kids[name]
+                    labels[:] = labels[0] + good, labels[1] + bad
+                    break
+            else:
+                groups.append(([name], list(kids[name]), [good, bad]))
+        for names, members, _ in groups:
+            todo.append((members, (*path, names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}")))
     return out
 
 
-def unite(into: Node, other: Node) -> None:
-    into.n, into.good, into.bad = into.n + other.n, into.good + other.good, into.bad + other.bad
-    into.templates += other.templates
-    for name, child in other.children.items():
-        unite(into.children.setdefault(name, Node()), child)
-
-
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, segs, merged, pages, labelled, purity, keep of every distinct path; see ``filter_urls``."""
     spark = pages.sparkSession
@@ -137,7 +154,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     def induce(group: pd.DataFrame) -> pd.DataFrame:
         root = Node()
         for t, n, g, b in zip(group["template"], group["n"], group["good"], group["bad"]):
-            root.add(tuple(t), 0, int(n), int(g), int(b))
+            root.add(tuple(t), int(n), int(g), int(b))
         rows = [(group["host"].iloc[0], list(t), m, n, g, b) for m, ts, n, g, b in leaves(root) for t in ts]
         return pd.DataFrame(rows, columns=["host", "template", "merged", "pages", "good", "bad"])
 
@@ -156,10 +173,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     labelled pages; keep tells purity >= MIN_PURITY * mean, so that a template without labels is kept. Null,
     empty and unparsable urls are the template "/" of host ''. Repeated rows count as often as they
     stand, null page_ids have no label; further columns are ignored; an empty table gives an empty result.
+    Urls of any length are taken whole. Branches with equally many pages are taken by name; a purity that just
+    reaches the bound is kept.
     """
     found = templates(pages, labels).withColumnsRenamed({"host": "_h", "segs": "_s"})
     parts = url_parts(pages)
-    joined = parts.join(sized_broadcast(found, 512), (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_s")))
+    joined = parts.join(sized_broadcast(found), (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_s")))
     return joined.select("page_id", "host", F.col("merged").alias("template"), "pages", "labelled", "purity", "keep")
 
 

@@ -1,19 +1,25 @@
 """Vectorised word splitting and hashing over Arrow string buffers.
 
-A word is a maximal run of ASCII letters, digits, underscores and non-ASCII characters. Texts are
-handled as UTF-8 bytes in blocks, so that no Python object is made per word.
+A word is a maximal run of letters, marks, digits and underscores of Unicode; punctuation, symbols, white
+space and control characters of any script separate words. Texts are handled as UTF-8 bytes in blocks,
+so that no Python object is made per word.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD = re.compile(r"[0-9A-Za-z_\u0080-\U0010ffff]+")
+#: Whether a code point separates words; those that Unicode has not assigned do not.
+SEPARATES = np.array([(k := unicodedata.category(chr(c)))[0] in "PZSC" and k != "Cn" and c != ord("_") for c in range(sys.maxunicode + 1)])
+_EDGES = np.flatnonzero(np.diff(np.concatenate([[True], SEPARATES, [True]]))).reshape(-1, 2)
+WORD = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in _EDGES.tolist()) + "]+")
 BLOCK_BYTES = 1 << 20
 
 _G = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -72,11 +78,30 @@ def blocks(column: pa.Array, lower: bool, limit: int = BLOCK_BYTES) -> Iterator[
         lo = hi
 
 
+def _clear_separators(buf: np.ndarray, flag: np.ndarray) -> None:
+    """Set ``flag`` to 0 at the bytes of the non-ASCII characters that separate words."""
+    lead = np.flatnonzero(buf >= 0xC0)
+    if not len(lead):
+        return
+    first = buf[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | (buf[lead[more] + k] & 0x3F)
+    gone = SEPARATES[code]
+    lead, size = lead[gone], size[gone]
+    for k in range(4):
+        flag[lead[size > k] + k] = 0
+
+
 def split(buf: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which words start and end."""
-    flag = np.empty(len(buf) + 2, np.int8)
-    flag[0] = flag[-1] = 0
-    flag[1:-1] = table[buf]
+    flag = np.zeros(len(buf) + 5, np.int8)
+    flag[1 : len(buf) + 1] = table[buf]
+    if table is IS_WORD:
+        _clear_separators(buf, flag[1:])
+    flag = flag[: len(buf) + 2]
     edge = np.flatnonzero(flag[1:] != flag[:-1])
     return edge[0::2], edge[1::2]
 
@@ -108,5 +133,5 @@ def roll(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
-    """Character spans of the words of one text; as many as ``split`` finds in its lower-cased bytes."""
+    """Character spans of the words of one text; as many as ``split`` finds in its bytes, also lower-cased."""
     return [m.span() for m in WORD.finditer(text)]
