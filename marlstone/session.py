@@ -71,10 +71,11 @@ def row_bytes(df: DataFrame) -> Column:
     return sum(held, F.lit(24 + 16 * len(df.schema) + 8 * flat))
 
 
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of ``df`` when the measured size of its rows is small; otherwise leave a shuffle join.
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of the rows of ``df`` allows a broadcast; ``df`` should be cheap to read (a written table)."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit
 
-    ``df`` should be cheap to read (a written table).
-    """
-    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` when it is small; otherwise leave a shuffle join."""
+    return F.broadcast(df) if is_small(df, limit) else df
