@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
-from marlstone.session import materialise, sized_broadcast, table
+from marlstone.session import is_small, materialise, table
 
 #: Test phrases are all windows of so many words; an item with fewer words is one phrase as a whole.
 WINDOW = 13
@@ -125,6 +125,10 @@ class FMIndex:
         return out
 
 
+def _null_first(item: int | None) -> tuple[bool, int]:
+    return item is not None, item or 0
+
+
 class Phrases:
     """The test set: word hashes as symbols, and all windows as right-aligned patterns."""
 
@@ -142,7 +146,7 @@ class Phrases:
         self.patterns = np.zeros((len(keys), window), np.int32)
         for row, k in zip(self.patterns, keys):
             row[window - len(k) :] = np.searchsorted(self.vocabulary, k) + 1
-        self.items = [sorted(set(v)) for v in found.values()]
+        self.items = [sorted(set(v), key=_null_first) for v in found.values()]
         self.shortest = int(self.lengths.min()) if keys else window
         bits = 18
         self.mask = np.uint64((1 << bits) - 1)
@@ -206,8 +210,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     order. Words are compared lower-cased, so case, white space and punctuation between words do not
     matter. Overlapping or touching spans are one. A null or empty text has no spans; a row with a null
     doc_id is searched and reported with a null doc_id; repeated rows each give their spans, as do rows
-    that share a doc_id. Items that are null or have no words are no phrase; repeated items count
-    once for each item_id. Without phrases, or without documents, the result is empty. Further
+    that share a doc_id. Texts of any length are searched whole. Items that are null or have no words are no
+    phrase; repeated items count once for each item_id, and a null item_id is an id of its own, the first. Without phrases, or without documents, the result is empty. Further
     columns of either table are ignored. The test set is gathered to the driver and sent to each task:
     its size does not grow with the corpus.
     """
@@ -218,7 +222,7 @@ def _spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_sy
     """The spans, with text_hash: xxhash64 of the text that holds them."""
     spark = docs.sparkSession
     items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator()]
-    phrases = Phrases(sorted(((-1 if i is None else i), t) for i, t in items), window)
+    phrases = Phrases(sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), window)
     if not len(phrases.lengths):
         return spark.createDataFrame([], SPAN_SCHEMA)
     shared = spark.sparkContext.broadcast(phrases)
@@ -254,7 +258,7 @@ def _spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_sy
                         merged[-1][2].update(p.items[w])
                     else:
                         merged.append([s, e, set(p.items[w])])
-                rows += [(doc, key, chars[s][0], chars[e - 1][1], e - s, sorted(i)) for s, e, i in merged]
+                rows += [(doc, key, chars[s][0], chars[e - 1][1], e - s, sorted(i, key=_null_first)) for s, e, i in merged]
             pieces, runs, kept, size = [], [], {}, 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out) if rows else None
 
@@ -285,14 +289,22 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The columns of documents with the spans (doc_id, text_hash, start, end) cut out, and ``_cut``: whether any were.
 
     A text that loses a span gets a new n_chars. Spans apply to the rows with their doc_id and text.
-    Spans are broadcast where their size is small, else joined by doc_id.
+    Spans are broadcast where their size is small. Beyond that only the documents with spans are shuffled, if
+    their ids can be broadcast to tell them from the others, else all.
     """
     spark = docs.sparkSession
     by = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     by = materialise(spark, by, "spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = base.join(sized_broadcast(by), on, "left")
+    if is_small(by):
+        joined = base.join(F.broadcast(by), on, "left")
+    elif is_small(ids := by.select("_id").distinct()):
+        here = F.col("doc_id").eqNullSafe(F.col("_id"))
+        joined = base.join(F.broadcast(ids), here, "left_semi").join(by, on, "left")
+        joined = joined.unionByName(base.join(F.broadcast(ids), here, "left_anti"), allowMissingColumns=True)
+    else:
+        joined = base.join(by, on, "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -310,8 +322,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def remove_phrases(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the spans that ``find_spans`` finds, with n_chars made to fit; columns of documents.
 
-    Rows without spans come out as they are, null and empty texts too. Rows with a null doc_id are matched
-    by their text.
+    Rows without spans come out as they are, null and empty texts too; so does an empty table. Rows with a null
+    doc_id are matched by their text.
     """
     return cut_spans(docs, _spans(docs, benchmark)).drop("_cut")
 
