@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
-from marlstone.session import materialise, sized_broadcast, table
+from marlstone.session import materialise, release, sized_broadcast, table
 
 SHINGLE = 3
-REGISTERS = 128
+REGISTERS = 256
 BASE = 1.02
 RATE = 20.0
-BANDS, ROWS = 32, 4
+#: The first BANDS x ROWS registers are banded: a pair at the threshold shares a band with a probability of 0.93
+#: (a register of unlike documents is equal by chance in 0.5 % of cases, so bands of fewer would not do at scale).
+BANDS, ROWS = 40, 4
 #: Verified pairs have at least this Jaccard similarity of their shingle sets.
 THRESHOLD = 0.5
 #: A pair is verified if its estimate is above the threshold less this (about three standard errors); a leader
 #: strikes a member off if it is above the threshold and this.
-SLACK = 0.13
+SLACK = 0.1
 
 _POINTS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,8 +162,8 @@ def collisions(reps: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate([i for i, _ in held])
-            k = np.concatenate([s for _, s in held]).reshape(len(ids), BANDS, ROWS)
-            packed = np.ascontiguousarray(k).view(np.uint64)[:, :, 0]
+            k = np.concatenate([s for _, s in held]).reshape(len(ids), -1)[:, : BANDS * ROWS]
+            packed = np.ascontiguousarray(k).reshape(len(ids), BANDS, ROWS).view(np.uint64)[:, :, 0]
             keys = W.mix(packed + np.arange(BANDS, dtype=np.uint64)[None, :] * _STEP).ravel()
             rows = packed_by_bucket(buckets, keys, np.repeat(ids, BANDS))
             held.clear()
@@ -245,7 +247,8 @@ def likely_pairs(members: DataFrame, least: float, strike: float | None = None)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] > 0)], names=["a", "b", "strong"])
 
-    placed = members.select("bucket_id", "rep", "sketch", "firm").repartition("bucket_id").sortWithinPartitions("bucket_id", "rep")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not few tasks
+    placed = members.select("bucket_id", "rep", "sketch", "firm").repartition(parts, "bucket_id").sortWithinPartitions("bucket_id", "rep")
     return placed.mapInArrow(run, "a long, b long, strong boolean").where("a <> b").distinct()
 
 
@@ -279,7 +282,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     texts = materialise(spark, texts, "texts")
     two = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = two.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    out = materialise(spark, two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "verified")
+    release(ids, texts)
+    return out
 
 
 def edges_of(found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -291,7 +296,7 @@ def edges_of(found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
     sketch = reps.select("rep", "sketch")
     pairs = materialise(spark, likely_pairs(found.join(sketch, "rep"), threshold - SLACK, threshold + SLACK), "pairs")
     seen, firm = pairs, None
-    edges = materialise(spark, verified(pairs, docs, threshold), "verified")
+    edges = verified(pairs, docs, threshold)
     while True:
         failed = pairs.where("strong").join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("rep")).distinct()
         new = materialise(spark, failed if firm is None else failed.join(firm, "rep", "left_anti"), "failed")
@@ -303,7 +308,7 @@ def edges_of(found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: floa
         more = likely_pairs(members, threshold - SLACK, threshold + SLACK)
         pairs = materialise(spark, more.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = seen.unionByName(pairs)
-        edges = materialise(spark, edges.unionByName(verified(pairs, docs, threshold)), "verified")
+        edges = edges.unionByName(verified(pairs, docs, threshold))
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -318,7 +323,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("b", "m").union(least.select("a", "m")).toDF("a", "b").where("a <> b").distinct()
-        edges = materialise(spark, small, "edges")
+        old, edges = edges, materialise(spark, small, "edges")
+        release(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.union(edges.select("b", "b").distinct()).toDF("node", "root")
@@ -329,17 +335,16 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of all documents that have exact or near copies; group_id is the group's least doc_id.
 
     Documents whose word sequences are equal are one from the start; others are grouped through pairs
-    with a Jaccard similarity of word shingles of at least ``threshold``. Null, empty and wordless texts
-    resemble nothing; rows with a null doc_id are left out. Repeated rows and rows that share a doc_id
-    count as one document (with the shingles of any of them); a document alone is not in the result.
-    Further columns are ignored; an empty table gives an empty result.
+    with a Jaccard similarity of word shingles of at least ``threshold`` (one that just reaches it counts). Null,
+    empty and wordless texts resemble nothing; rows with a null doc_id are left out; texts of any length are
+    taken whole. Repeated rows and rows that share a doc_id count as one document (with the shingles of any of
+    them); a document alone is not in the result. Further columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    sketches = materialise(spark, sketch_documents(docs), "sketches")
-    return _groups(spark, docs, sketches, threshold)
+    return _groups(docs, materialise(docs.sparkSession, sketch_documents(docs), "sketches"), threshold)
 
 
-def _groups(spark: SparkSession, docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _groups(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    spark = docs.sparkSession
     reps = sketches.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialise(spark, reps, "reps")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -348,21 +353,58 @@ def _groups(spark: SparkSession, docs: DataFrame, sketches: DataFrame, threshold
     grouped = reps.select("fp", "rep", "n").join(roots.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null")
     grouped = grouped.select("fp", F.coalesce("root", "rep").alias("group_id"))
     out = sketches.select("doc_id", "fp").join(grouped, "fp").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    out = materialise(spark, out, "groups")
+    release(reps, found)
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def uncut_groups(docs: DataFrame, uncut: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, group_id): near-duplicates among the rows of ``uncut`` that ``docs`` holds with passages cut out.
+
+    A document counts if its text is what is left of an uncut one under its doc_id, its words being some of that
+    one's in their order; group_id is the least of those in the group. Only texts of groups are compared so.
+    """
+    spark = docs.sparkSession
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
+    sketches = materialise(spark, sketch_documents(uncut).join(ids, "doc_id", "left_semi"), "sketches")
+    groups = _groups(uncut, sketches, threshold)
+    members = sized_broadcast(groups.select("doc_id"))
+    left = docs.select("doc_id", "text").where("text is not null").join(members, "doc_id", "left_semi")
+    whole = uncut.select("doc_id", F.col("text").alias("whole")).where("text is not null").join(members, "doc_id", "left_semi")
+
+    def derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                rest = iter(before.split())
+                keep.append(all(w in rest for w in text.split()))
+            yield b.select([0]).filter(pa.array(keep, pa.bool_()))
+
+    same = left.join(whole, "doc_id").select("doc_id", "text", "whole").mapInArrow(derived, "doc_id long").distinct()
+    held = materialise(spark, groups.join(same, "doc_id", "left_semi"), "held")
+    release(sketches, groups)
+    least = held.groupBy("group_id").agg(F.min("doc_id").alias("least"))
+    return held.join(least, "group_id").select("doc_id", F.col("least").alias("group_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, uncut: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least doc_id; columns of documents.
 
-    Rows with a null doc_id, and null, empty and wordless texts stay as they are. Of repeated rows (equal
-    doc_id and text) one stays.
+    ``uncut`` (doc_id, text) may hold the texts before passages were cut out of them: what is left of a near copy
+    resembles nothing, so documents whose uncut texts are near-duplicates (see ``uncut_groups``) are then
+    of one group too. Rows with a null doc_id, and null, empty and wordless texts stay as they are, unless their
+    uncut text has a group. Of repeated rows (equal doc_id and text) one stays. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     sketches = materialise(spark, sketch_documents(docs), "sketches")
-    drop = _groups(spark, docs, sketches, threshold).where("doc_id <> group_id").select("doc_id")
-    drop = materialise(spark, drop, "drop")
+    groups = _groups(docs, sketches, threshold)
+    if uncut is not None:
+        pairs = groups.unionByName(uncut_groups(docs, uncut, threshold))
+        groups = components(spark, pairs.toDF("a", "b")).toDF("doc_id", "group_id")
+    drop = materialise(spark, groups.where("doc_id <> group_id").select("doc_id"), "drop")
     repeated = materialise(spark, sketches.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    release(sketches)
     kept = base.join(sized_broadcast(drop), "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept

@@ -374,7 +374,7 @@ def test_groups_equal_brute_force(spark, docs, texts):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     want = {i: find(i) for p in pairs for i in p}
-    assert len(pairs) > 10 and sum(got.get(a) == got.get(b) is not None for a, b in pairs) >= 0.9 * len(pairs)
+    assert len(pairs) > 10 and sum(got.get(a) == got.get(b) is not None for a, b in pairs) >= 0.97 * len(pairs)
     assert all(want.get(i) == g for i, g in got.items())
 
 
@@ -401,6 +401,37 @@ def test_members_that_fail_verification_are_compared(spark):
     assert got == {g + i: g + 1 for g in range(0, 60, 3) for i in (1, 2)}
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs with a similarity of 0.5 to 0.6, where it is hardest: at least 0.9 are found, and no pair below 0.5."""
+    rng = random.Random(31)
+    word = lambda n: ["".join(rng.choices("abcdefghijklmno", k=7)) for _ in range(n)]
+    rows = []
+    for k in range(400):
+        both, own = word(200), rng.uniform(0.44, 0.56) if k % 2 else rng.uniform(0.30, 0.42)
+        n = int(200 * (1 - own) / own / 2)
+        rows += [(2 * k, " ".join(both + word(n))), (2 * k + 1, " ".join(both + word(n)))]
+    got = {r.doc_id: r.group_id for r in neardup.near_groups(docs_of(spark, rows)).collect()}
+    sets = shingle_sets([t for _, t in rows])
+    alike = [k for k in range(400) if neardup.jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.5]
+    assert len(alike) > 50 and sum(got.get(2 * k + 1) == 2 * k for k in alike) >= 0.9 * len(alike)
+    assert set(got) <= {i for k in alike for i in (2 * k, 2 * k + 1)}
+
+
+def test_near_copies_of_which_passages_were_cut(spark):
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8))) for _ in range(n))
+    uncut, cut = [], []
+    for k in range(0, 60, 3):
+        parts = [prose(60) for _ in range(6)]
+        uncut += [(k, " ".join(parts)), (k + 1, " NEW ".join(parts)), (k + 2, prose(200))]
+        cut += [(k, uncut[-3][1]), (k + 1, f"{' '.join(parts[0].split()[-5:])} NEW"), (k + 2, uncut[-1][1])]
+    cut += [(100, "not what stood there"), (None, "no id")]  # an id whose uncut text is another one's copy, but not of this row
+    uncut += [(100, uncut[0][1])]
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, cut), docs_of(spark, uncut)).collect()}
+    assert kept == {i for k in range(0, 60, 3) for i in (k, k + 2)} | {100, None}
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, cut)).collect()} == {i for i, _ in cut}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 12)] + [(30, 20), (20, 25), (25, 20)]
     got = {r.node: r.root for r in neardup.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
