@@ -11,62 +11,45 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.quality import MIN_Z, draw, labelled, words_and_stats
-from marlstone.session import table
+from marlstone.llm.quality import bad_words, draw, labelled
+from marlstone.session import materialise, release, table
 
-#: Labelled rows that rules are learned from, of each class at most.
-ROWS_PER_CLASS = 20_000
-#: Labelled texts that the lexicon is learned from, of each class at most, and its size.
-TEXTS_PER_CLASS, LEXICON = 3000, 250
+#: Bounds of the sample: labelled rows that rules are learned from, and of these the texts that the lexicon is
+#: learned from, of each class at most.
+ROWS_PER_CLASS, TEXTS_PER_CLASS = 20_000, 3000
+#: Share of a word's class frequencies that are bad, to be in the lexicon.
 LEXICON_PRECISION = 0.95
-THRESHOLDS = 24
-MAX_RULES, MAX_CONDITIONS = 12, 4
-#: Precision on the held-out rows that a rule needs.
-MIN_PRECISION = 0.8
+#: Precision on the held-out rows that a rule needs, and bad held-out rows that it covers at least.
+MIN_PRECISION, MIN_COVER = 0.8, 2
 
 STATS = ("n_words", "distinct", "word_length", "marks", "pipes", "upper", "flagged", "repeated_marks")
 Condition = tuple[str, str, float]
 
 
-def lexicon(sample: list[tuple[int, str]], size: int = LEXICON) -> list[str]:
-    """Words that stand almost only in bad texts, the most significant first."""
-    y = np.array([g for g, _ in sample])
-    count: dict[str, list[int]] = {}
-    for g, t in sample:
-        for w in words_and_stats(t)[0]:
-            count.setdefault(w, [0, 0])[g] += 1
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    scored = []
-    for w, (bad, good) in count.items():
-        p, q = bad / n0, good / n1
-        m = (bad + good) / (n0 + n1)
-        z = (p - q) / max(1e-9, (m * (1 - m) * (1 / n0 + 1 / n1)) ** 0.5)
-        if z >= MIN_Z and p / (p + q) >= LEXICON_PRECISION:
-            scored.append((-z, w))
-    return [w for _, w in sorted(scored)[:size]]
-
-
-def with_statistics(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id and the statistics of each text; a null text counts as empty."""
+def with_statistics(docs: DataFrame, words: list[str], *more: str) -> DataFrame:
+    """doc_id, the columns ``more`` and the statistics of each text; a null text counts as empty, one of any length is taken whole."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
         "doc_id",
+        *more,
         F.length(text).alias("_n"),
         F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_w"),
         F.regexp_replace(text, r"[^!|#%&*$]+", " ").alias("_m"),
         F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).alias("_u"),
     )
+    base = base.withColumn("_d", F.array_distinct("_w"))
     n = F.greatest(F.size("_w"), F.lit(1))
     marks = F.length(F.replace("_m", F.lit(" "), F.lit("")))
     return base.select(
         "doc_id",
+        *more,
         F.size("_w").cast("double").alias("n_words"),
-        (F.size(F.array_distinct("_w")) / n).alias("distinct"),
+        (F.size("_d") / n).alias("distinct"),
         (F.col("_n") / n).cast("double").alias("word_length"),
         (marks / n).alias("marks"),
         ((F.length("_m") - F.length(F.replace("_m", F.lit("|"), F.lit("")))) / n).alias("pipes"),
         (F.col("_u") / F.greatest("_n", F.lit(1))).alias("upper"),
-        F.size(F.array_intersect("_w", F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"))).cast("double").alias("flagged"),
+        F.size(F.filter("_d", lambda w: w.isin(words))).cast("double").alias("flagged"),
         (F.size(F.split("_m", r"!!|##|%%|&&|\*\*|\$\$")) - 1).cast("double").alias("repeated_marks"),
     )
 
@@ -80,33 +63,39 @@ def covered(x: np.ndarray, rule: list[Condition]) -> np.ndarray:
     return out
 
 
+def _best(x: np.ndarray, bad: np.ndarray) -> tuple[float, Condition | None]:
+    """The gain and condition, over all cuts between two values of each statistic, of the best information gain."""
+    p0, n0 = int(bad.sum()), int((~bad).sum())
+    best: tuple[float, Condition | None] = (1e-9, None)
+    if not p0:
+        return best
+    for c, name in enumerate(STATS):
+        order = np.argsort(x[:, c], kind="stable")
+        v = x[order, c]
+        last = np.flatnonzero(v[1:] != v[:-1])  # the last row of each value but the greatest
+        if not len(last):
+            continue
+        low = np.cumsum(bad[order])[last]
+        for op, p, size in ((">=", p0 - low, len(v) - 1 - last), ("<=", low, last + 1)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p > 0, p * (np.log2(p / size) - np.log2(p0 / (p0 + n0))), 0.0)
+            k = int(np.argmax(gain))
+            if gain[k] > best[0]:
+                best = float(gain[k]), (name, op, float((v[last[k]] + v[last[k] + 1]) / 2))
+    return best
+
+
 def _grow(x: np.ndarray, bad: np.ndarray) -> list[Condition]:
+    """Conditions added while one gains information; each takes away rows, so this ends. Of equal gains the first
+    statistic, then >=, then the least cut is taken."""
     rule: list[Condition] = []
     inside = np.ones(len(x), bool)
-    while len(rule) < MAX_CONDITIONS and not bad[inside].all():
-        p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
-        before = np.log2(p0 / (p0 + n0))
-        best: tuple[float, Condition | None, np.ndarray | None] = (1e-9, None, None)
-        for c, name in enumerate(STATS):
-            v = x[inside, c]
-            values = np.unique(v)
-            cuts = (values[1:] + values[:-1]) / 2
-            if len(cuts) > THRESHOLDS:
-                ranks = np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, THRESHOLDS + 2)[1:-1]), np.quantile(v[bad[inside]], np.linspace(0, 1, THRESHOLDS + 2)[1:-1])]))
-                cuts = np.unique(cuts[np.clip(np.searchsorted(cuts, ranks), 0, len(cuts) - 1)])
-            for t in cuts.tolist():
-                for op in (">=", "<="):
-                    hit = x[:, c] >= t if op == ">=" else x[:, c] <= t
-                    both = hit & inside
-                    p, n = (both & bad).sum(), (both & ~bad).sum()
-                    if p:
-                        gain = p * (np.log2(p / (p + n)) - before)
-                        if gain > best[0]:
-                            best = (gain, (name, op, t), both)
-        if best[1] is None:
+    while not bad[inside].all():
+        _, condition = _best(x[inside], bad[inside])
+        if condition is None:
             break
-        rule.append(best[1])
-        inside = best[2]
+        rule.append(condition)
+        inside &= covered(x, [condition])
     return rule
 
 
@@ -120,18 +109,18 @@ def _prune(rule: list[Condition], x: np.ndarray, bad: np.ndarray) -> list[Condit
 
 
 def learn(x: np.ndarray, bad: np.ndarray) -> list[list[Condition]]:
-    """The ordered rules (each a conjunction) that name bad rows."""
+    """The ordered rules (each a conjunction) that name bad rows; the first one that fails on held-out rows ends the list."""
     order = np.random.default_rng(5).permutation(len(x))
     x, bad = x[order], bad[order]
     held = np.arange(len(x)) % 3 == 0
     rules: list[list[Condition]] = []
     alive = np.ones(len(x), bool)
-    while len(rules) < MAX_RULES and (bad & alive & ~held).any():
+    while (bad & alive & ~held).any():
         grow, test = alive & ~held, alive & held
         rule = _prune(_grow(x[grow], bad[grow]), x[test], bad[test])
         hit = covered(x, rule)
         p, n = (hit & test & bad).sum(), (hit & test & ~bad).sum()
-        if not rule or p < 2 or p / (p + n) < MIN_PRECISION:
+        if not rule or p < MIN_COVER or p / (p + n) < MIN_PRECISION:
             break
         rules.append(rule)
         alive &= ~hit
@@ -150,24 +139,26 @@ def expression(rules: list[list[Condition]]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[list[Condition]]]:
-    """The lexicon and the rules; no rules without labels of both classes."""
-    marked = labelled(labels)
-    sample = draw(marked, docs, TEXTS_PER_CLASS)
-    if len({g for g, _ in sample}) < 2:
+    """The lexicon and the rules; no rules without labels of both classes. The sample's texts are read once."""
+    spark = docs.sparkSession
+    marked = materialise(spark, labelled(labels), "labels")
+    sample = draw(marked, docs, ROWS_PER_CLASS)
+    words = bad_words(sample.where(F.col("place") <= TEXTS_PER_CLASS), LEXICON_PRECISION)
+    rows = with_statistics(sample, words, "good").collect()  # bounded by ROWS_PER_CLASS
+    release(sample)
+    rows = sorted((r["doc_id"], r["good"], *(r[c] for c in STATS)) for r in rows)
+    if len({r[1] for r in rows}) < 2:
         return [], []
-    words = lexicon(sample)
-    least = [marked.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS) for g in (0, 1)]
-    ids = F.broadcast(least[0].unionByName(least[1]))  # bounded by ROWS_PER_CLASS
-    rows = with_statistics(docs.select("doc_id", "text").join(ids.select("doc_id"), "doc_id", "left_semi"), words)
-    rows = sorted(map(tuple, rows.join(ids, "doc_id").select("doc_id", "good", *STATS).toLocalIterator()))
     return words, learn(np.array([r[2:] for r in rows]), np.array([r[1] == 0 for r in rows]))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and statistics of the rows of ``docs`` that no rule names, verdict 0.
 
-    Null texts count as empty; an empty text is judged by its statistics. Null doc_ids and repeated rows
-    are judged like any other. Without labels of both classes there are no rules and all rows stay.
+    Null texts count as empty; an empty text is judged by its statistics, one of any length by all of it. Null
+    doc_ids and repeated rows are judged like any other; a statistic equal to a rule's cut meets its condition. Without
+    labels of both classes there are no rules and all rows stay. An empty table gives an empty result; further
+    columns are ignored.
     """
     words, rules = fit(docs, labels)
     return with_statistics(docs, words).withColumn("verdict", expression(rules)).where("verdict = 0")

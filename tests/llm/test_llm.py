@@ -201,6 +201,35 @@ def test_pair_loss_orders_scores():
     assert (s[y == 1][:, None] > s[y == 0][None, :]).mean() > 0.97
 
 
+def test_fitted_loss_equals_a_slow_optimiser():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    y = (x @ [1, -1, 0.5, 0, 0, 0.2] + rng.normal(size=300) > 0).astype(int)
+    i, j = quality.drawn_pairs(y, 4000)
+    w = np.zeros(6)
+    for _ in range(20_000):  # plain gradient descent on the convex loss
+        s = x @ w
+        g = -1 / (1 + np.exp(s[i] - s[j])) / len(i)
+        w -= 0.5 * (x.T @ (np.bincount(i, g, len(y)) - np.bincount(j, g, len(y))) + quality.L2 * w)
+    fitted = quality.fit_pairs(x, y, 4000).astype(float)
+    assert quality.pair_loss(fitted, x, i, j) <= quality.pair_loss(w, x, i, j) * 1.005
+
+
+def test_chosen_words_equal_brute_force(spark):
+    docs, labels = labelled_docs(spark)
+    sample = quality.draw(quality.labelled(labels), docs, 70)
+    rows = sample.collect()
+    assert Counter(r.good for r in rows) == {0: 70, 1: 70} and sorted(r.place for r in rows) == sorted([*range(1, 71)] * 2)
+    want = []
+    for word in {w for r in rows for w in quality.words_and_stats(r.text)[0]}:
+        n = Counter(r.good for r in rows if word in quality.words_and_stats(r.text)[0])
+        p, q, m = n[0] / 70, n[1] / 70, (n[0] + n[1]) / 140
+        z = (p - q) / (max(m * (1 - m), 1e-9) * (2 / 70)) ** 0.5
+        if n[0] + n[1] >= 5 and z >= 4 and p >= 0.8 * (p + q):
+            want.append(word)
+    assert quality.bad_words(sample) == sorted(want) and {"awful", "vile", "nasty"} <= set(want)
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = quality.keep_good(odd(spark), none)
@@ -322,6 +351,53 @@ def test_expression_equals_the_rules(spark):
     assert got == want.tolist()
 
 
+def brute_learn(x, bad):
+    """Covering with every rule grown by trying every cut of every statistic."""
+    order = np.random.default_rng(5).permutation(len(x))
+    rows = [(dict(zip(rules.STATS, x[i])), bool(bad[i]), k % 3 == 0) for k, i in enumerate(order)]
+    meets = lambda r, rule: all(r[n] >= t if op == ">=" else r[n] <= t for n, op, t in rule)
+    found = []
+    while any(b for _, b, held in rows if not held):
+        rule = []
+        while True:
+            inside = [(r, b) for r, b, held in rows if not held and meets(r, rule)]
+            p0 = sum(b for _, b in inside)
+            if p0 in (0, len(inside)):
+                break
+            best = (1e-9, None)
+            for name in rules.STATS:
+                v = sorted({r[name] for r, _ in inside})
+                for op in (">=", "<="):
+                    for a, b in zip(v, v[1:]):
+                        hit = [bad for r, bad in inside if meets(r, [(name, op, (a + b) / 2)])]
+                        if p := sum(hit):
+                            gain = p * (np.log2(p / len(hit)) - np.log2(p0 / len(inside)))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (name, op, (a + b) / 2))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        worth = []
+        for k in range(1, len(rule) + 1):
+            hit = [b for r, b, held in rows if held and meets(r, rule[:k])]
+            worth.append(((2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0, -k))
+        rule = rule[: -max(worth)[1]] if rule else rule
+        hit = [b for r, b, held in rows if held and meets(r, rule)]
+        if not rule or sum(hit) < 2 or sum(hit) / len(hit) < 0.8:
+            break
+        found.append(rule)
+        rows = [r for r in rows if not meets(r[0], rule)]
+    return found
+
+
+def test_covering_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        x = rng.integers(0, 9, (120, len(rules.STATS))).astype(float)
+        bad = (x[:, 1] > 6) | ((x[:, 3] < 3) & (x[:, 4] > 4)) | (rng.random(120) < 0.03)
+        assert rules.learn(x, bad) == brute_learn(x, bad)
+
+
 def test_rules_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert rules.kept(odd(spark), none).count() == len(ODD) + 1
