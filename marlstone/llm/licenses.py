@@ -1,14 +1,16 @@
 """Licence scans by a positional index of rare words.
 
-Each template is a licence notice with mandatory key phrases at fixed word positions. The words of the
-phrases are weighted by their inverse document frequency over the whole corpus, and the rarest word of
-each phrase becomes its posting: word -> (template, phrase, position). In a file only those words are
-looked up; their postings give phrase places, the phrases are verified word by word, and a template is
-found where all its phrases stand at their relative positions.
+Each template is a licence notice or the text of a licence, with mandatory key phrases at fixed word positions. The
+licence words are weighted by their inverse document frequency over the whole corpus. A phrase can only stand in
+a file that has all its words, so of those the file's highest-IDF one is its rarest word, whatever the file:
+that word's posting is (template, phrase, position). In a file the posted words are looked up; the
+places that they propose are intersected by relative position, and where all phrases of a template have one, the
+phrases are verified word by word.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -23,6 +25,12 @@ from marlstone.session import table
 #: Words by which a phrase may stand away from its place relative to the first (names, years).
 SLACK = 12
 
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+_MIT = _GRANT + "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+
 #: Licence, notice, mandatory phrases (parts of the notice).
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("licensed under the apache license", "version 2.0")),
@@ -43,6 +51,15 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal", ("cc0 1.0 universal",)),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
+    ("MIT", _MIT, ("permission is hereby granted free of charge to any person obtaining a copy", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied")),
+    ("ISC", _ISC, ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "provided that the above copyright notice and this permission notice appear in all copies", "the author disclaims all warranties with regard to this software")),
+    ("BSD-2-Clause", _BSD.format(third=""), ("redistribution and use in source and binary forms with or without modification are permitted", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is")),
+    ("BSD-3-Clause", _BSD.format(third=_THIRD), ("redistribution and use in source and binary forms with or without modification are permitted", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "this software is provided by the copyright holders and contributors as is")),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", ("in no event will the authors be held liable for any damages arising from the use of this software", "the origin of this software must not be misrepresented", "this notice may not be removed or altered from any source distribution")),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license version 1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation")),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE", ("with or without fee is hereby granted the software is provided as is and the author disclaims all warranties",)),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("made available under the terms of the eclipse public license 2.0",)),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "distributed on an as is basis without warranties or conditions of any kind")),
 )
 
 
@@ -86,32 +103,37 @@ class Index:
 
     def find(self, seq: np.ndarray) -> list[tuple[str, int, int]]:
         """(licence, first word, end word) of every template in one text's word numbers."""
-        places: dict[tuple[int, int], list[int]] = {}
-        n = len(seq)
+        proposed: dict[int, list[list[int]]] = {}
         for at in np.flatnonzero(self.anchor[seq]).tolist():
             for t, k, rare in self.postings[int(seq[at])]:
-                p = self.coded[t][k][1]
-                s = at - rare
-                if s >= 0 and s + len(p) <= n and seq[s : s + len(p)].tolist() == p:
-                    places.setdefault((t, k), []).append(s)
-        return self.assemble(places)
-
-    def assemble(self, places: dict[tuple[int, int], list[int]]) -> list[tuple[str, int, int]]:
-        """Templates whose phrases stand at their relative positions; a match inside a longer one is left out."""
+                if 0 <= at - rare <= len(seq) - len(self.coded[t][k][1]):
+                    proposed.setdefault(t, [[] for _ in self.coded[t]])[k].append(at - rare)
         found = set()
-        for t, phrases in enumerate(self.coded):
-            for first in places.get((t, 0), ()):
-                end = first + len(phrases[0][1])
-                for k in range(1, len(phrases)):
-                    want = first + phrases[k][0] - phrases[0][0]
-                    near = [s for s in places.get((t, k), ()) if abs(s - want) <= SLACK]
-                    if not near:
-                        break
-                    end = max(end, min(near, key=lambda s: (abs(s - want), s)) + len(phrases[k][1]))
-                else:
-                    found.add((self.names[t], first, end))
+        for t, places in proposed.items():
+            phrases = self.coded[t]
+            if not self.placed(t, places):
+                continue
+            sure = [[s for s in mine if seq[s : s + len(p)].tolist() == p] for mine, (_, p) in zip(places, phrases)]
+            found.update((self.names[t], s, e) for s, e in self.placed(t, sure))
         return sorted(f for f in found if not any(g != f and g[1] <= f[1] and f[2] <= g[2] and (g[2] - g[1] > f[2] - f[1]) for g in found))
 
+    def placed(self, t: int, places: list[list[int]]) -> list[tuple[int, int]]:
+        """(first word, end word) of each place of the template's first phrase near which, ``SLACK`` words at most from
+        where they belong, all others have a place (of several the nearest, then the first); ``places`` are in order."""
+        phrases = self.coded[t]
+        out = []
+        for first in places[0]:
+            end = first + len(phrases[0][1])
+            for (at, p), mine in zip(phrases[1:], places[1:]):
+                want = first + at - phrases[0][0]
+                near = mine[bisect.bisect_left(mine, want - SLACK) : bisect.bisect_right(mine, want + SLACK)]
+                if not near:
+                    break
+                end = max(end, min(near, key=lambda s: (abs(s - want), s)) + len(p))
+            else:
+                out.append((first, end))
+        return out
+
 
 def _numbered(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for lo, hi, buf, off in W.blocks(column, lower=True):
@@ -143,8 +165,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     Words are compared lower-cased, punctuation and white space do not matter. A null or empty text has
     no notice; null doc_ids are reported as such; repeated rows each report. Notices are reported as
-    often as they stand in a text; one within a longer one is not. Further columns are ignored. With no
-    template or no document the result is empty.
+    often as they stand in a text; one within a longer one is not; of licences whose notices have the same words
+    each is reported. Texts of any length are scanned whole. Further columns are ignored. With no template or no
+    document the result is empty.
     """
     spark = docs.sparkSession
     kinds = "doc_id long, license string, start int, end int"

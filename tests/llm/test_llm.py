@@ -138,18 +138,30 @@ def test_rollup_of_odd_rows(spark, tmp_path):
 
 
 def brute_licences(text):
-    index = licenses.Index()
-    seq = plain_words(text)
-    places = defaultdict(list)
-    for t, phrases in enumerate(index.phrases):
-        for k, (_, p) in enumerate(phrases):
-            places[t, k] = [s for s in range(len(seq) - len(p) + 1) if seq[s : s + len(p)] == p]
-    return [(n, *(W.word_spans(text)[i][j] for i, j in ((s, 0), (e - 1, 1)))) for n, s, e in index.assemble(places)]
+    """Every template at every word: its phrases, each at most 12 words from where it belongs."""
+    words, spans = plain_words(text), [m.span() for m in regex.finditer(r"[\p{L}\p{M}\p{N}_]+", text or "")]
+    found = set()
+    stands = lambda p, s: s >= 0 and words[s : s + len(p)] == p
+    for name, notice, phrases in licenses.TEMPLATES:
+        body = plain_words(notice)
+        parts = sorted((next(k for k in range(len(body)) if body[k : k + len(p)] == p), p) for p in map(plain_words, phrases))
+        for first in range(len(words)):
+            if stands(parts[0][1], first):
+                ends = [first + len(parts[0][1])]
+                for at, p in parts[1:]:
+                    want = first + at - parts[0][0]
+                    near = sorted((abs(s - want), s) for s in range(want - 12, want + 13) if stands(p, s))
+                    ends.append(near[0][1] + len(p) if near else None)
+                if None not in ends:
+                    found.add((name, first, max(ends)))
+    outer = [f for f in found if not any(g[1] <= f[1] and f[2] <= g[2] and g[2] - g[1] > f[2] - f[1] for g in found)]
+    return [(n, spans[s][0], spans[e - 1][1]) for n, s, e in outer]
 
 
 def test_licences_equal_brute_force(spark, texts):
     notices = [t[1] for t in licenses.TEMPLATES]
     made = [f"Some words. {n} and more; {n.upper()}." for n in notices] + ["licensed under the apache license but no version", "under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy only"]
+    made += [notices[2].replace("the", "the “new”\u00a0—"), *(n.replace(". ", ". Copyright 2020 by some of us. ").replace(" of ", " “of” ") for n in notices)]
     every = made + list(texts.values())
     got = defaultdict(list)
     for r in licenses.scan(docs_of(spark, every)).collect():
