@@ -22,17 +22,19 @@ from marlstone.llm import words as W
 from marlstone.session import materialise, release, sized_broadcast, table
 
 SHINGLE = 3
-REGISTERS = 256
+REGISTERS = 128
 BASE = 1.02
 RATE = 20.0
-#: The first BANDS x ROWS registers are banded: a pair at the threshold shares a band with a probability of 0.93
-#: (a register of unlike documents is equal by chance in 0.5 % of cases, so bands of fewer would not do at scale).
-BANDS, ROWS = 40, 4
+#: Bands of ROWS registers: all registers in order, then some in another order. A pair at the threshold shares one with
+#: a probability of about 0.93. A register of unlike documents is equal by chance in 0.5 % of cases, so shorter bands
+#: would bring together too many of them at scale.
+BANDS, ROWS = 48, 4
+BANDED = np.concatenate([np.arange(REGISTERS), np.random.default_rng(1).permutation(REGISTERS)])[: BANDS * ROWS]
 #: Verified pairs have at least this Jaccard similarity of their shingle sets.
 THRESHOLD = 0.5
 #: A pair is verified if its estimate is above the threshold less this (about three standard errors); a leader
 #: strikes a member off if it is above the threshold and this.
-SLACK = 0.1
+SLACK = 0.13
 
 _POINTS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -162,7 +164,7 @@ def collisions(reps: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate([i for i, _ in held])
-            k = np.concatenate([s for _, s in held]).reshape(len(ids), -1)[:, : BANDS * ROWS]
+            k = np.concatenate([s for _, s in held]).reshape(len(ids), -1)[:, BANDED]
             packed = np.ascontiguousarray(k).reshape(len(ids), BANDS, ROWS).view(np.uint64)[:, :, 0]
             keys = W.mix(packed + np.arange(BANDS, dtype=np.uint64)[None, :] * _STEP).ravel()
             rows = packed_by_bucket(buckets, keys, np.repeat(ids, BANDS))
