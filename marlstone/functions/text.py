@@ -12,7 +12,6 @@ TOKEN = r"[\p{L}\p{N}]+"
 TAGS = "table|thead|tbody|tr|td|th|ul|ol|li|h[1-6]|p|pre|code|br|em|strong|span|a|img|div|section|article|aside|header|footer|main|nav|details|script|style"
 TAG = rf"(?i)</?(?:{TAGS})\b[^>]*>"
 BLOCKS = ("script", "style", "nav", "header", "footer")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
 SECRET = r"(?:[\w.-]+[._-])?(?:api[-_]?key|credential|password|private[-_]?key|secret|token)"
 KIND_ORDER = {"context": 0, "usage": 1, "docs": 2, "example": 3, "source": 4}
 
@@ -68,27 +67,29 @@ def title(text: Column | str, fallback: Column) -> Column:
 
 
 def blank_lines(text: Column | str, pattern: str) -> Column:
-    """Replace what the pattern matches by as many newlines as it held, so that line numbers stay."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    parts = F.split(text, pattern, -1)
+    """Replace what the pattern matches by as many newlines as it held, so that line numbers stay.
+
+    A reference to the pattern's own first group is written {group}.
+    """
+    found = F.regexp_extract_all(text, F.lit("(" + pattern.replace("{group}", "2") + ")"), F.lit(1))
+    parts = F.split(text, pattern.replace("{group}", "1"), -1)
     both = F.zip_with(parts, found, lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.regexp_replace(F.coalesce(f, F.lit("")), r"[^\n]+", "")))
     return F.array_join(both, "")
 
 
 def clean_html(text: Column | str) -> Column:
-    """Blank script, style, navigation, header and footer blocks, listed tags to spaces, entities unescaped."""
+    """Blank script, style, navigation, header and footer blocks, listed tags to spaces, character references unescaped."""
+    from marlstone.functions.lexer import unescaped
+
     out = F.col(text) if isinstance(text, str) else text
-    for block in BLOCKS:
-        out = blank_lines(out, rf"(?is)<{block}.*?</{block}>")
-    out = F.regexp_replace(out, TAG, " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    names = "|".join(BLOCKS)
+    out = blank_lines(out, rf"(?is)<({names}).*?</\{{group}}>")
+    return unescaped(F.regexp_replace(out, TAG, " "))
 
 
 def clean_markdown(text: Column | str) -> Column:
     """Blank front matter, drop import and export lines, delete listed tags."""
-    out = blank_lines(text, r"(?s)\A-{3}\s*\n.*?\n-{3}\s*\n")
+    out = blank_lines(text, r"(?s)\A---\s*\n.*?\n---\s*\n")
     out = F.regexp_replace(out, r"(?m)^\s*(?:export|import)\s.*$", "")
     return F.regexp_replace(out, TAG, "")
 

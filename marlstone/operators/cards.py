@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = tuple("support-module library-suite library application".split())
@@ -168,6 +169,58 @@ def catalog_item(card: dict, repository: str, module: str) -> dict:
     )
 
 
+ITEM = "id string, type string, status string, aliases array<string>, sources array<string>, capabilities array<string>, purpose string, use_when array<string>, examples array<string>"
+
+
+def validated(files: DataFrame) -> DataFrame:
+    """repository, path, module, errors, item of every context card; item is null if there are errors.
+
+    ``files`` has a row for every file of the repositories: repository, path, module, kind, text (needed for
+    cards and usage documents only). Each repository is validated by itself, so no driver holds its files.
+    """
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(group["path"], group["text"].where(group["text"].notna(), "")))
+        rows = []
+        for r in group[group["kind"] == "context"].itertuples():
+            try:
+                card = load_card(r.text or "")
+                errors = card_errors(card, texts)
+            except ValueError as e:
+                card, errors = None, [str(e)]
+            item = None if errors else catalog_item(card, r.repository, r.module or ":")
+            rows.append((r.repository, r.path, r.module, errors, item))
+        return pd.DataFrame(rows, columns=["repository", "path", "module", "errors", "item"])
+
+    needed = F.when(F.col("kind") == "context", F.col("text")).when(F.col("path").rlike(r"(^|/)docs/usage/[^/]+\.md$"), F.col("text"))
+    slim = files.select("repository", "path", "module", "kind", needed.alias("text"))
+    cards_of = slim.join(slim.where("kind = 'context'").select("repository").distinct(), "repository", "left_semi")
+    return cards_of.groupBy("repository").applyInPandas(check, f"repository string, path string, module string, errors array<string>, item struct<{', '.join(c.replace(' ', ': ', 1) for c in ITEM.split(', '))}>")
+
+
+def guessed_items(modules: DataFrame) -> DataFrame:
+    """Catalog items of the modules (repository, module, folder) that are named as libraries."""
+    from marlstone.sources.files import is_library
+
+    name = F.element_at(F.split("folder", "/"), -1)
+    return modules.where(is_library(F.col("module"), F.col("folder"))).select(
+        F.concat("repository", F.replace("module", F.lit(":"), F.lit("-"))).alias("id"), F.lit("library").alias("type"), F.lit("discovered").alias("status"),
+        F.array(F.replace(name, F.lit("-"), F.lit(" "))).alias("aliases"), F.array(F.concat("repository", "module")).alias("sources"), F.array(F.lit("api"), F.lit("examples")).alias("capabilities"),
+        F.lit(None).cast("string").alias("purpose"), F.array().cast("array<string>").alias("use_when"), F.array().cast("array<string>").alias("examples"),
+    )
+
+
+def manifest_catalog(spark: SparkSession, manifest: dict) -> DataFrame:
+    """The catalog items of a manifest (sources with modules, catalog entries); ValueError tells what is wrong with it."""
+    sources = [(f"{s['id']}:{m['id']}",) for s in manifest.get("sources", []) for m in s.get("modules", [])]
+    known = spark.createDataFrame(sources, "source_id string")
+    rows = [(e.get("id"), e.get("type"), e.get("status") or "ready", e.get("aliases") or [], e.get("source_modules") or [], e.get("capabilities") or []) for e in manifest.get("catalog", [])]
+    entries = spark.createDataFrame(rows, "id string, type string, status string, aliases array<string>, source_modules array<string>, capabilities array<string>")
+    if wrong := [f"{r['id']}: {r['error']}" for r in manifest_errors(entries, known).orderBy("id", "error").collect()]:
+        raise ValueError("; ".join(wrong))
+    return entries.withColumnRenamed("source_modules", "sources").orderBy("id")
+
+
 def merge_catalog(items: DataFrame) -> DataFrame:
     """Catalog items (id, status, sources, ...) where a curated one replaces the guessed ones that share a source."""
     curated = items.where("status = 'curated'")

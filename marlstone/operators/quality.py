@@ -81,28 +81,6 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, cases: DataFrame,
     return out.withColumn("passed", (F.col("recall") >= min_recall) & (F.col("mrr") >= min_mrr) & (F.col("negative_pass_rate") >= min_negative))
 
 
-def dependency_metrics(cases: DataFrame, aliases_found: DataFrame, consumers_found: DataFrame, min_pass_rate: float = 1.0, min_positive: int = 0) -> DataFrame:
-    """One row: cases, passed ones, pass rate, review_required and passed.
-
-    cases: case_id, expected_aliases, expected_consumers (structs of repository, module, path, configuration,
-    null fields match all), expect_no_results, review_required; *_found: rows by case_id. A positive case passes
-    if every expected alias and consumer is found; a negative one if no alias is.
-    """
-    found = aliases_found.groupBy("case_id").agg(F.collect_set("alias").alias("aliases"))
-    wanted = cases.select("case_id", F.posexplode("expected_consumers").alias("k", "w"))
-    same = [F.col(f"w.{c}").isNull() | (F.col(f"w.{c}") == F.col(c)) for c in ("repository", "module", "path", "configuration")]
-    condition = (wanted["case_id"] == consumers_found["case_id"]) & same[0] & same[1] & same[2] & same[3]
-    missing = wanted.join(consumers_found, condition, "left_anti").groupBy("case_id").agg(F.count("*").alias("missing"))
-    rows = cases.join(found, "case_id", "left").join(missing, "case_id", "left")
-    have = F.coalesce("aliases", F.array().cast("array<string>"))
-    good = F.when(F.col("expect_no_results"), F.size(have) == 0).otherwise((F.size(F.array_except("expected_aliases", have)) == 0) & F.col("missing").isNull())
-    out = rows.withColumn("_ok", good).agg(
-        F.count("*").alias("cases"), F.count_if("_ok").alias("passed_cases"), F.count_if(~F.col("expect_no_results")).alias("positive_cases"),
-        F.round(F.coalesce(F.avg(F.col("_ok").cast("double")), F.lit(1.0)), 6).alias("pass_rate"), F.coalesce(F.max("review_required"), F.lit(False)).alias("review_required"),
-    )
-    return out.withColumn("passed", (F.col("pass_rate") >= min_pass_rate) & (F.col("positive_cases") >= min_positive) & ~F.col("review_required"))
-
-
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, change (added, removed, changed) between two snapshots (path, fingerprint)."""
     b, a = before.toDF("path", "_b"), after.toDF("path", "_a")

@@ -1,17 +1,31 @@
-"""Full-text search: postings, phrase matches, BM25, kind priority and greedy de-duplication.
+"""Full-text search over a stored inverted index: phrase matches, BM25, kind priority, greedy de-duplication.
 
-Queries are searched in batches: the terms of all queries filter the token stream before anything is
-shuffled, so the cost follows the matches and not the corpus' postings.
+The index is written once: postings in buckets by the hash of their term, sorted by term within a file, the rows'
+other columns, and the statistics. A batch of queries reads only the buckets of its terms, and of these the row
+groups that hold them; the texts are not looked at again. The cost of a search follows its terms' postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import ACCENTS, PLAIN, kind_priority, phrases, tokens
+from marlstone.session import materialise
 
 K1, B = 1.2, 0.75
+#: Folders that postings are spread over by the hash of their term.
+BUCKETS = 32
+#: Terms of a batch that are given to the scan as values; more are joined.
+LITERALS = 4000
 #: Rows fetched for each result asked for, before de-duplication.
 OVERFETCH = 20
 
@@ -41,47 +55,163 @@ def postings(chunks: DataFrame, key: str = "source_id", fields: tuple[str, ...]
     return stacked.select(key, F.col("x.field").alias("field"), F.posexplode("x.t").alias("pos", "term"))
 
 
-def corpus_statistics(chunks: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """One row: n_rows and the mean number of tokens, avgdl; filters of a search never change them."""
-    size = sum((F.size(tokens(F.coalesce(f, F.lit("")))) for f in fields), F.lit(0))
-    return chunks.agg(F.count("*").alias("n_rows"), F.avg(size).alias("avgdl"))
+@dataclass
+class Index:
+    """A stored index: postings (bucket, term, key, field, tf, positions, dl, kind_priority), rows (all columns but
+    content), and counts."""
 
+    postings: DataFrame
+    rows: DataFrame
+    n_rows: int
+    avgdl: float
+    key: str
+    buckets: int
 
-def phrase_frequencies(chunks: DataFrame, terms: DataFrame, key: str = "source_id", fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """query_id, phrase, key, tf: occurrences of each phrase, adjacent terms within one field."""
-    arrays = token_arrays(chunks, key, fields)
-    size = sum((F.size(f) for f in fields), F.lit(0))
-    stacked = arrays.select(key, size.alias("dl"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields))).alias("x"))
-    rows = stacked.select(key, "dl", F.col("x.field").alias("field"), F.posexplode("x.t").alias("pos", "term"))
-    hits = rows.join(F.broadcast(terms), "term")  # as large as the batch of queries
-    starts = hits.groupBy("query_id", "phrase", "phrase_size", key, "dl", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.where("n = phrase_size").groupBy("query_id", "phrase", key, "dl").agg(F.count("*").alias("tf"))
 
+def _bucket(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _postings_schema(key: str, kind: str) -> str:
+    return f"term string, {key} {kind}, field string, tf int, positions array<int>, dl int, kind_priority int"
+
+
+def grouped_postings(arrays: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """A row for each term of each field of each row of ``arrays`` (key, kind_priority, dl, token arrays)."""
+    schema = _postings_schema(key, arrays.schema[key].dataType.simpleString())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, field in enumerate(fields, 3):
+                lists = b.column(k)
+                term = lists.flatten().dictionary_encode()
+                if not len(term):
+                    continue
+                code, size = term.indices.to_numpy(), pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((pos, code, row))
+                row, code = row[order], code[order]
+                s = np.flatnonzero(np.insert((row[1:] != row[:-1]) | (code[1:] != code[:-1]), 0, True))
+                e = np.append(s[1:], len(row))
+                at = pa.array(row[s])
+                positions = pa.ListArray.from_arrays(pa.array(np.append(s, len(row)).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+                columns = [term.dictionary.take(pa.array(code[s])), b.column(0).take(at), pa.array([field] * len(s)), pa.array((e - s).astype(np.int32)), positions, b.column(2).take(at), b.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", key, "field", "tf", "positions", "dl", "kind_priority"])
+
+    return arrays.select(key, "kind_priority", "dl", *fields).mapInArrow(run, schema)
+
+
+def write_index(chunks: DataFrame, folder: str, key: str = "source_id", fields: tuple[str, ...] = ("title", "content"), buckets: int = BUCKETS) -> None:
+    """Write the index of ``chunks`` into a new folder.
+
+    A bucket is cut into as many slices of rows as the session's shuffle partitions allow, so that neither a
+    bucket nor a frequent term is the work of one task. A chunk without terms counts as a row of length 0.
+    """
+    spark = chunks.sparkSession
+    kind = kind_priority("kind") if "kind" in chunks.columns else F.lit(0)
+    arrays = chunks.select(key, kind.alias("kind_priority"), *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields))
+    arrays = arrays.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
+    rows = grouped_postings(arrays, key, fields).withColumn("bucket", _bucket("term", buckets))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.pmod(F.xxhash64(key), F.lit(max(1, parts // buckets)))
+    rows.repartition(parts, "bucket", slices).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    chunks.drop("content").write.parquet(f"{folder}/rows")
+    n = spark.read.parquet(f"{folder}/rows").count()
+    total = spark.read.parquet(f"{folder}/postings").agg(F.sum("tf")).first()[0] or 0
+    spark.createDataFrame([(n, total / n if n else 0.0, key, buckets)], "n_rows long, avgdl double, key string, buckets int").coalesce(1).write.parquet(f"{folder}/statistics")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    """An index that ``write_index`` wrote."""
+    r = spark.read.parquet(f"{folder}/statistics").first()
+    rows = spark.read.parquet(f"{folder}/rows")
+    schema = _postings_schema(r["key"], rows.schema[r["key"]].dataType.simpleString()) + ", bucket int"
+    return Index(spark.read.schema(schema).parquet(f"{folder}/postings"), rows, r["n_rows"], r["avgdl"], r["key"], r["buckets"])
+
+
+def lookup(index: Index, terms: DataFrame) -> DataFrame:
+    """The columns of ``terms`` with the postings of each; few terms are values that the scan skips row groups by."""
+    bucketed = terms.withColumn("bucket", _bucket("term", index.buckets))
+    few = bucketed.select("term", "bucket").distinct().limit(LITERALS + 1).collect()
+    if len(few) > LITERALS:
+        return index.postings.join(bucketed, ["bucket", "term"]).drop("bucket")
+    chosen = F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few}))
+    return index.postings.where(chosen).drop("bucket").join(terms, "term")
+
+
+def asked_phrases(terms: DataFrame) -> DataFrame:
+    """query_id, text, terms, times: the different phrases of each query and how often it has them."""
+    listed = terms.groupBy("query_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("terms"))
+    asked = listed.groupBy("query_id", F.array_join("terms", " ").alias("text"), "terms").agg(F.count("*").alias("times"))
+    few = asked.limit(LITERALS + 1).collect()
+    return terms.sparkSession.createDataFrame(few, asked.schema) if len(few) <= LITERALS else asked
+
+
+def phrase_frequencies(index: Index, asked: DataFrame) -> DataFrame:
+    """text, key, dl, kind_priority, tf: rows with each different phrase, adjacent terms within one field, once for
+    all queries that ask for it. Positions are read for phrases of several terms only."""
+    place = [index.key, "dl", "kind_priority"]
+    different = asked.select("text", "terms").distinct()
+    single = different.where(F.size("terms") == 1).select("text", F.col("terms")[0].alias("term"))
+    several = different.where(F.size("terms") > 1).select("text", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    found = lookup(index, single).groupBy("text", *place).agg(F.sum("tf").alias("tf"))
+    if not several.isEmpty():
+        starts = lookup(index, several).select("text", "size", "field", *place, "offset", F.explode("positions").alias("pos"))
+        starts = starts.groupBy("text", "size", "field", *place, (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
+        found = found.unionByName(starts.where("n = size").groupBy("text", *place).agg(F.count("*").alias("tf")))
+    return materialise(asked.sparkSession, found, "phrases")
+
+
+def conjunctions(index: Index, terms: DataFrame) -> DataFrame:
+    """query_id, key, kind_priority, dl, df, tf, times: for rows in which every phrase of a query occurs, each phrase.
+
+    A query's rows are those of its rarest phrase; only for these the others are looked up.
+    """
+    asked = asked_phrases(terms)
+    found = phrase_frequencies(index, asked)
+    df = found.groupBy("text").agg(F.count("*").alias("df"))
+    known = asked.drop("terms").join(df, "text", "left")
+    queries = known.groupBy("query_id").agg(F.min_by("text", F.struct("df", "text")).alias("text"), F.count("*").alias("n"), F.count("df").alias("have")).where("n = have")
+    rows = queries.join(found.select("text", index.key), "text").select("query_id", index.key, "n")
+    every = rows.join(known, "query_id").join(found, ["text", index.key])
+    return every.withColumn("_all", F.count("*").over(Window.partitionBy("query_id", index.key))).where("_all = n").drop("_all", "n", "text")
 
-def matches(chunks: DataFrame, terms: DataFrame, key: str = "source_id", fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
+
+def matches(index: Index, terms: DataFrame) -> DataFrame:
     """query_id, key: rows in which every phrase of a query occurs."""
-    wanted = terms.groupBy("query_id").agg(F.countDistinct("phrase").alias("wanted"))
-    found = phrase_frequencies(chunks, terms, key, fields).groupBy("query_id", key).agg(F.count("*").alias("found"))
-    return found.join(F.broadcast(wanted), "query_id").where("found = wanted").select("query_id", key)
+    return conjunctions(index, terms).select("query_id", index.key).distinct()
+
+
+def bm25(index: Index, terms: DataFrame) -> DataFrame:
+    """query_id, key, kind_priority, rank of all matches; the more negative a rank, the better.
+
+    A phrase in half of the rows or more has the least weight, 1e-6; one that a query has twice counts twice.
+    """
+    idf = F.log((F.lit(index.n_rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl))))
+    return conjunctions(index, terms).groupBy("query_id", index.key, "kind_priority").agg((-F.sum(part * F.col("times"))).alias("rank"))
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, key: str = "source_id", fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """query_id, key, rank of all matches; the more negative a rank, the better.
+def holding(index: Index, texts: DataFrame, rarest: int = 3) -> DataFrame:
+    """query_id, key: rows that may hold a text (query_id, query) whole, having its rarest terms.
 
-    A phrase in half of the rows or more has the least weight, 1e-6.
+    A text's terms are counted in the index; the ``rarest`` of them decide, so every row that holds the text is
+    in the result. One without terms may be anywhere and gives all rows.
     """
-    stats = corpus_statistics(chunks, fields)
-    wanted = terms.groupBy("query_id").agg(F.countDistinct("phrase").alias("wanted"))
-    tf = phrase_frequencies(chunks, terms, key, fields)
-    df = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.crossJoin(F.broadcast(stats)).select("query_id", "phrase", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
-    part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = tf.join(F.broadcast(weighted), ["query_id", "phrase"]).groupBy("query_id", key).agg((-F.sum(part)).alias("rank"), F.count("*").alias("found"))
-    return scored.join(F.broadcast(wanted), "query_id").where("found = wanted").select("query_id", key, "rank")
-
-
-def greedy(rows: Column, hash_field: str, source_field: str, limit: int) -> Column:
+    terms = texts.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    count = lookup(index, terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n"))
+    known = terms.join(count, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy("n", "term")
+    few = materialise(texts.sparkSession, known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rarest).select("query_id", "term"), "rarest")
+    found = lookup(index, few).select("query_id", "term", index.key).distinct()
+    need = few.groupBy("query_id").agg(F.count("*").alias("need"))
+    have = found.groupBy("query_id", index.key).agg(F.count("*").alias("have"))
+    every = texts.join(need, "query_id", "left_anti").select("query_id").crossJoin(index.rows.select(index.key))
+    return have.join(need, "query_id").where("have = need").select("query_id", index.key).unionByName(every)
+
+
+def greedy(rows: Column, hash_field: str, source_field: str, limit: int | Column) -> Column:
     """Of ordered rows, those that share neither hash nor source with a row kept before, at most ``limit``."""
 
     def step(kept: Column, row: Column) -> Column:
@@ -91,46 +221,98 @@ def greedy(rows: Column, hash_field: str, source_field: str, limit: int) -> Colu
     return F.aggregate(rows, F.filter(rows, lambda r: F.lit(False)), step)
 
 
-def ranked(chunks: DataFrame, scores: DataFrame, limit: int, key: str = "source_id") -> DataFrame:
-    """query_id, position and the chunk's columns of the best ``limit`` rows of each query.
+def ranked(index: Index, scores: DataFrame, limits: DataFrame | int) -> DataFrame:
+    """query_id, position and the row's columns of the best rows of each query.
 
     Order: kind priority, rank, key. Each query's best OVERFETCH * limit rows are folded in order; a row
-    whose content or source was taken before is left out.
+    whose content or source was taken before is left out. ``limits`` is one for all or a table (query_id, top_k). Only
+    the best rows are joined with the rows' columns.
     """
-    from pyspark.sql import Window
-
-    columns = [c for c in chunks.columns if c != "content"]
-    joined = scores.join(chunks.select(*columns), key)
-    joined = joined.withColumn("kind_priority", kind_priority("kind")).withColumn("_source", F.concat_ws("\u0000", "repository", "path"))
+    key = index.key
+    many = scores.withColumn("top_k", F.lit(limits)) if isinstance(limits, int) else scores.join(limits, "query_id")
     order = Window.partitionBy("query_id").orderBy("kind_priority", F.round("rank", 9), key)
-    top = joined.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= OVERFETCH * limit)
+    top = many.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= OVERFETCH * F.col("top_k"))
+    columns = index.rows.columns
+    joined = top.join(index.rows, key).withColumn("_source", F.concat_ws("\u0000", "repository", "path"))
     rows = F.array_sort(F.collect_list(F.struct("_n", "rank", "kind_priority", "_source", *columns)))
-    kept = top.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.posexplode(greedy(F.col("rows"), "content_hash", "_source", limit)).alias("position", "r"))
+    folded = joined.groupBy("query_id", "top_k").agg(rows.alias("rows"))
+    kept = folded.select("query_id", F.posexplode(greedy(F.col("rows"), "content_hash", "_source", F.col("top_k"))).alias("position", "r"))
     return kept.select("query_id", (F.col("position") + 1).alias("position"), "r.rank", "r.kind_priority", *(F.col(f"r.{c}").alias(c) for c in columns))
 
 
-def search(chunks: DataFrame, queries: dict[int, str], limit: int = 5, filters: dict[str, str] | None = None, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
+def narrowed(index: Index, scores: DataFrame, filters: DataFrame) -> DataFrame:
+    """The scores whose row meets all equalities (query_id, field, value) of its query; others stay."""
+    if filters.isEmpty():
+        return scores
+    fields = [r[0] for r in filters.select("field").distinct().collect()]  # names of columns
+    asked = filters.groupBy("query_id").pivot("field", fields).agg(F.first("value"))
+    asked = asked.select("query_id", *(F.col(f"`{f}`").alias(f"_{k}") for k, f in enumerate(fields)))
+    rows = scores.join(index.rows.select(index.key, *(F.col(f).alias(f"_have{k}") for k, f in enumerate(fields))), index.key).join(asked, "query_id", "left")
+    for k in range(len(fields)):
+        rows = rows.where(F.col(f"_{k}").isNull() | (F.col(f"_have{k}").cast("string") == F.col(f"_{k}")))
+    return rows.select(*scores.columns)
+
+
+def search(index: Index, queries: dict[int, str], limit: int = 5, filters: dict[str, str] | None = None) -> DataFrame:
     """Best rows of each query; equality filters narrow the rows but not the statistics. Limits are 1 to 20."""
-    limit = min(max(limit, 1), 20)
-    terms = query_terms(chunks.sparkSession, queries)
-    narrowed = chunks
-    for field, value in (filters or {}).items():
-        if value:
-            narrowed = narrowed.where(F.col(field) == value)
-    return ranked(narrowed, bm25(chunks, terms, fields=fields), limit)
-
-
-def snippet(text: Column | str, terms: list[str], width: int = 28) -> Column:
-    """A window of ``width`` words of a text from just before the first hit, its hits between ** marks."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    fold = lambda w: F.translate(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")), *_MAP)
-    hit = lambda w: fold(w).isin(terms)
-    first = F.coalesce(F.array_position(F.transform(words, hit), True), F.lit(0)).cast("int")
-    start = F.greatest(F.least(first - 3, F.size(words) - width + 1), F.lit(1))
-    window = F.transform(F.slice(words, start, width), lambda w: F.when(hit(w), F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w))
-    lead = F.when(start > 1, F.lit("…")).otherwise("")
-    tail = F.when(start + width <= F.size(words), F.lit("…")).otherwise("")
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.concat(lead, F.array_join(window, " "), tail))
-
-
-_MAP = (ACCENTS, PLAIN)
+    spark = index.rows.sparkSession
+    terms = query_terms(spark, queries)
+    asked = [(q, f, v) for q in queries for f, v in (filters or {}).items() if v]
+    scores = narrowed(index, bm25(index, terms), spark.createDataFrame(asked, "query_id long, field string, value string"))
+    return ranked(index, scores, min(max(limit, 1), 20))
+
+
+def best_window(text: str, phrases: list[list[str]], width: int) -> str:
+    """The window of ``width`` terms that shows most of the phrases, its hits between ** marks, … where text is left out.
+
+    Every hit proposes the window around the hits that follow it and one from the begin of its sentence. A phrase
+    counts 1000 at its first hit in a window and 1 at each further one, a sentence's begin 100 and the text's 120; of
+    equals the first stays. Without a hit it is the begin of the text.
+    """
+    tokens_ = [(m.start(), m.end(), m[0].lower().translate(_FOLD)) for m in re.finditer(r"[^\W_]+", text)]
+    n = len(tokens_)
+    found = sorted((i, p) for p, terms in enumerate(phrases) for i in range(n - len(terms) + 1) if [t for _, _, t in tokens_[i : i + len(terms)]] == terms)
+    sentences = [i for i, (start, _, _) in enumerate(tokens_) if not i or text[:start].rstrip(" \t\r\n").endswith((".", ":"))] if n > width else []
+
+    def score(start: int) -> tuple[int, int]:
+        inside = [(i, p) for i, p in found if start <= i < start + width]
+        kinds = len({p for _, p in inside})
+        span = max(i + len(phrases[p]) for i, p in inside[-1:]) - inside[0][0] if inside else 0
+        place = (inside[0][0] if inside else 0) - int((width - span) / 2)
+        return 1000 * kinds + len(inside) - kinds, max(0, min(place, n - width))
+
+    best = start = 0
+    for i, _ in found:
+        worth, place = score(i)
+        if worth > best:
+            best, start = worth, place
+        before = [s for s in sentences if s <= i][-1:]
+        if before and before[0] < i and (worth := score(before[0])[0] + (100 if before[0] else 120)) > best:
+            best, start = worth, before[0]
+    spans: list[list[int]] = []
+    for i, p in found:
+        if spans and i <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], i + len(phrases[p]) - 1)
+        else:
+            spans.append([i, i + len(phrases[p]) - 1])
+    stop = start + width - 1
+    at = tokens_[start][0] if start else 0
+    out = ["…" if start else ""]
+    for a, b in spans:
+        if start <= a <= stop:
+            out += [text[at : tokens_[a][0]], "**", text[tokens_[a][0] : tokens_[min(b, stop)][1]], "**"]
+            at = tokens_[min(b, stop)][1]
+    return "".join([*out, text[at:] if stop >= n - 1 else text[at : tokens_[stop][1]] + "…"])
+
+
+def snippet(text: Column | str, phrases: list[list[str]], width: int = 28) -> Column:
+    """``best_window`` of a text for the phrases of a search; for the few rows that are shown."""
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else best_window(t, phrases, width) for t in texts], dtype=object)
+
+    return shown(text)
+
+
+_FOLD = str.maketrans(ACCENTS, PLAIN)

@@ -1,9 +1,10 @@
-"""DuckDB SQL for the results of ``queries``, written independently of the Spark plans."""
+"""DuckDB SQL for the results of ``queries``, written independently of the Spark plans and sharing nothing with them."""
 
 from __future__ import annotations
 
-from marlstone.functions.text import ACCENTS, BLOCKS, ENTITIES, PLAIN, TAGS
-
+ACCENTS, PLAIN = "éèêëáàâäãåíìîïóòôöõúùûüñçýÿ", "eeeeaaaaaaiiiiooooouuuuncyy"
+TAGS = "a|article|aside|br|code|details|div|em|footer|h1|h2|h3|h4|h5|h6|header|img|li|main|nav|ol|p|pre|script|section|span|strong|style|table|tbody|td|th|thead|tr|ul"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&middot;": "·", "&eacute;": "é"}
 _TOK = f"regexp_extract_all(translate(lower({{}}), '{ACCENTS}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 _SECRET = r"(?:[\w.-]+[._-])?(?:api[-_]?key|credential|password|private[-_]?key|secret|token)"
 
@@ -54,16 +55,19 @@ RANKED = f"""joined AS (SELECT s.query_id, s.rank, {PRIORITY} AS kp, c.* FROM sc
   best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS position FROM once QUALIFY position <= 5)"""
 
 _clean = "html"
-for _b in BLOCKS:
+for _b in ("script", "style", "nav", "header", "footer"):
     _clean = f"regexp_replace({_clean}, '<{_b}.*?</{_b}>', '', 'gis')"
 _clean = f"regexp_replace({_clean}, '</?(?:{TAGS})\\b[^>]*>', ' ', 'gi')"
-for _e, _c in ENTITIES:
+for _e, _c in ENTITIES.items():
     _clean = f"replace({_clean}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_clean = f"regexp_replace({_clean}, '&amp;?', '&', 'g')"
 CLEAN = f"trim(regexp_replace({_clean}, '\\s+', ' ', 'g'))"
 RAW = f"regexp_matches({{}}, '</?(?:{TAGS})\\b[^>]*>', 'i')"
 LINES = r"regexp_replace(text, '[.,]? ([A-Za-z_]+ = )', chr(10) || '\1', 'g')"
 REDACTED = rf"regexp_replace({LINES}, '(?im)^(\s*{_SECRET}\s*[:=]).*$', '\1 <redacted>', 'g')"
 LEAKS = rf"len(list_filter(regexp_extract_all({{}}, '(?im)^(\s*{_SECRET}\s*[:=].*)$', 1), lambda m: NOT contains(m, '<redacted>')))"
+LINKED = f"""{ALIASES}, linked AS (SELECT a.*, printf('Supplier#%05d', l_suppkey) AS consumer_repository, lpad(l_orderkey::VARCHAR, 10, '0') AS path, l_linenumber AS line FROM lineitem JOIN aliases a ON key = l_partkey)"""
+TURNS = "t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
 LEAF = "(SELECT *, unnest(json_keys(props)) AS key_path FROM events)"
 
 ORACLES = {
@@ -103,9 +107,11 @@ ORACLES = {
     "kind_case": r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(p, '(^|/)project-context\.yaml$') THEN 'context' WHEN l = 'markdown' AND regexp_matches(p, '(^|/)docs/usage/[^/]+$') THEN 'usage'
         WHEN contains(lower(p), 'example') OR contains(lower(p), 'test') THEN 'example' WHEN l = 'yaml' THEN 'configuration' WHEN l = 'html' THEN 'docs' ELSE 'source' END AS kind
         FROM (SELECT CASE WHEN page_id % 7 = 0 THEN 'latest/' ELSE '' END || regexp_replace(url, '^[a-z]+://[^/]+/|[?#].*$', '', 'g') AS p, ['yaml', 'html', 'kotlin'][page_id % 3 + 1] AS l FROM pages)) GROUP BY kind""",
-    "heading_split": "SELECT conv_id, section, sum(length(text))::BIGINT AS n_chars, count(*) AS turns FROM (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations) GROUP BY 1, 2 HAVING sum(length(text)) >= 80",
-    "short_chunk_filter": "SELECT conv_id || '#' || n AS chunk_id, sha256(text) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE length(text) >= 40",
-    "turn_ranges": "SELECT conv_id, turn, (e - l + 1)::BIGINT AS line_start, e::BIGINT AS line_end FROM (SELECT *, sum(l) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT conv_id, turn, len(string_split(text, chr(10))) AS l FROM conversations))",
+    "heading_split": f"""WITH {TURNS}, s AS (SELECT conv_id, i, CASE WHEN role = 'user' THEN '# ' ELSE '' END || line AS line, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM t),
+        c AS (SELECT conv_id, section, min(i) AS a, max(i) AS b, trim(string_agg(line, chr(10) ORDER BY i)) AS content FROM s GROUP BY ALL)
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY section) - 1)::INTEGER AS position, a::INTEGER AS line_start, b::INTEGER AS line_end, length(content)::INTEGER AS n_chars, sha256(content) AS content_hash FROM c WHERE length(content) >= 80""",
+    "short_chunk_filter": f"WITH {TURNS} SELECT conv_id || '#' || i AS chunk_id, sha256(line) AS content_hash FROM t WHERE length(line) >= 40",
+    "turn_ranges": f"WITH {TURNS} SELECT conv_id, (i - 1)::INTEGER AS turn, (3 * i - 1)::INTEGER AS line_start, (3 * i - 1)::INTEGER AS line_end, length(rtrim(rpad(substr(line, 1, 99), 99, 'x')))::INTEGER AS n_chars FROM t",
     "json_leaves": f"SELECT event_type, key_path, count(*) AS n, min(json_extract_string(props, '$.' || key_path)::BIGINT) AS least, max(json_extract_string(props, '$.' || key_path)::BIGINT) AS greatest FROM {LEAF} GROUP BY 1, 2",
     "layered_resolve": f"""SELECT user_id, key_path, json_extract_string(props, '$.' || key_path) AS value_json, event_type AS layer, event_id AS source_id FROM {LEAF}
         QUALIFY row_number() OVER (PARTITION BY user_id, key_path ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END DESC, date_trunc('second', ts) DESC, event_id DESC) = 1""",
@@ -114,13 +120,13 @@ ORACLES = {
           CASE WHEN event_type IN ('view', 'click') THEN user_id % 2 = 0 ELSE user_id % 3 = 1 END AS mine FROM events)
         SELECT key_path, value_json, layer, profile FROM v WHERE mine
         QUALIFY row_number() OVER (PARTITION BY key_path ORDER BY CASE WHEN profile = 'prod' THEN 2 ELSE 0 END + CASE layer WHEN 'module' THEN 1 ELSE 0 END DESC, event_id DESC) = 1""",
-    "alias_usage_join": "SELECT p_brand AS catalog_repository, count(*) AS usages, count(DISTINCT p_partkey) AS aliases, count(DISTINCT l_suppkey) AS consumers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
-    "usage_budget": f"WITH {ALIASES} SELECT alias, l_orderkey AS order_key, l_linenumber AS line FROM aliases JOIN lineitem ON key = l_partkey WHERE contains(regexp_replace(lower(concat_ws(' ', alias, accessor, group_id, artifact_id)), '[^a-z0-9]+', '', 'g'), 'brand') AND contains(regexp_replace(lower(concat_ws(' ', alias, accessor, group_id, artifact_id)), '[^a-z0-9]+', '', 'g'), '1') ORDER BY 1, 2, 3 LIMIT 20",
-    "orphan_usages": "SELECT l_partkey, count(*) AS orphans FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5) GROUP BY 1",
+    "alias_usage_join": "SELECT p_brand AS catalog_repository, count(DISTINCT (p_partkey, l_suppkey, l_orderkey, l_linenumber)) AS usages, count(DISTINCT p_partkey) AS aliases, count(DISTINCT l_suppkey) AS consumers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    "usage_budget": f"WITH {LINKED} SELECT alias, catalog_path, consumer_repository, path, line FROM linked WHERE contains(regexp_replace(lower(concat_ws(' ', alias, accessor, group_id, artifact_id)), '[^a-z0-9]+', '', 'g'), 'brand') AND contains(regexp_replace(lower(concat_ws(' ', alias, accessor, group_id, artifact_id)), '[^a-z0-9]+', '', 'g'), '1') ORDER BY alias, catalog_path, catalog_repository, consumer_repository, path, line LIMIT 20",
+    "orphan_usages": "SELECT l_partkey, count(*) AS orphans FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 5 GROUP BY 1",
     "owner_resolve": """WITH c AS (SELECT s_nationkey AS k, s_name AS r, 'supplier' AS m, 3 AS p FROM supplier WHERE s_nationkey % 2 = 0 UNION ALL SELECT c_nationkey, c_name, 'customer', 2 FROM customer),
         b AS (SELECT n_name AS own, r, m, p FROM c JOIN nation ON k = n_nationkey), w AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(own), '[^a-z0-9]+', '', 'g') ORDER BY p DESC, r, m) AS n FROM b)
         SELECT n_nationkey, coalesce(r, '') AS owner_repository, coalesce(m, '') AS owner_module FROM nation LEFT JOIN w ON w.n = 1 AND regexp_replace(lower(own), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g')""",
-    "topk_consumers": "SELECT l_partkey, l_suppkey, n, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS position FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE position <= 3",
+    "topk_consumers": f"WITH {LINKED} SELECT alias, position::INTEGER AS position, consumer_repository, path, line FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY consumer_repository, path, line) AS position FROM linked) WHERE position <= 3",
     "alias_terms_match": f"WITH {ALIASES}, n AS (SELECT alias, accessor, regexp_replace(lower(concat_ws(' ', alias, accessor, group_id, artifact_id)), '[^a-z0-9]+', '', 'g') AS t FROM aliases) SELECT alias, accessor FROM n WHERE contains(t, 'brand1') AND contains(t, '7')",
     "accessor_normalize": "SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(concat_ws('__', p_type, p_brand, p_name), '[-_.]+'), lambda x: x <> ''), '.') AS accessor, regexp_replace(lower(p_brand), '[^\\p{L}\\p{N}]+', '', 'g') AS letters, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS ascii FROM part",
     "fallback_join": f"""WITH {ALIASES}, u AS (SELECT accessor || ['', '.get', '.orNull', '.getOrNull', '.map'][l_orderkey % 5 + 1] AS used, l_orderkey % 5 = 4 AS other, key, l_orderkey, l_linenumber FROM lineitem JOIN aliases ON l_partkey = key),
@@ -130,10 +136,33 @@ ORACLES = {
           count(*) FILTER (kind IN ('docs', 'usage') AND {RAW.format('content')}) AS raw_html_in_docs, count(*) FILTER (kind = 'configuration' AND {LEAKS.format('content')} > 0) AS secret_leaks FROM chunks),
         o AS (SELECT count(*) AS orphan_labels FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
         SELECT *, chunks > 0 AND generated_paths + invalid_line_ranges + raw_html_in_docs + secret_leaks + orphan_labels = 0 AS passed FROM c, o""",
-    "catalog_lines": "SELECT '## ' || r_name || ' [region, ready]' AS heading, '- sources: ' || string_agg(n_name, ', ' ORDER BY n_name) AS line FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "catalog_lines": """SELECT r_name AS id, '## ' || r_name || ' [region, ready]' || chr(10) || '- aliases: ' || string_agg(DISTINCT lower(n_name[1:3]), ', ' ORDER BY lower(n_name[1:3])) || chr(10)
+        || '- sources: ' || string_agg(n_name, ', ' ORDER BY n_name) || chr(10) || '- capabilities: docs, api' || chr(10) AS block FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "snapshot_diff": "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)",
     "status_counts": """WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'pending' ELSE 'successful' END AS s, o_orderkey % 4 AS a FROM orders)
         SELECT count(*) AS total, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'running') AS running, count(*) FILTER (s = 'successful') AS successful, count(*) FILTER (s = 'failed') AS failed,
         count(*) FILTER (s = 'failed' AND a < 2) AS retryable, count(*) FILTER (s = 'failed' AND a >= 2) AS terminal FROM r""",
-    "source_lookup": "SELECT 'conv' || conv_id || '#' || turn AS source_id, role, length(text)::INTEGER AS n_chars FROM conversations WHERE conv_id IN (1, 12)",
+    "source_lookup": "SELECT 'conv' || conv_id || '#' || turn AS source_id, role, length(text)::INTEGER AS n_chars FROM conversations WHERE conv_id IN (1, 12) OR conv_id = 3 AND turn = 1",
+    "catalog_merge": """WITH c AS (SELECT s_name AS id, 'curated' AS status, s_nationkey AS source FROM supplier WHERE s_suppkey % 7 = 0)
+        SELECT * FROM c UNION ALL SELECT n_name, 'discovered', n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT source FROM c)""",
+    "manifest_check": """SELECT p_partkey AS id, 'type is missing' AS error FROM part WHERE p_size % 4 = 3 UNION ALL SELECT p_partkey, 'unknown type gadget' FROM part WHERE p_size % 4 = 2
+        UNION ALL SELECT p_partkey, 'capabilities is missing' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 'unknown source' FROM part WHERE p_partkey % 150 NOT IN (SELECT s_suppkey FROM supplier)""",
+    "probe_terms": rf"""WITH d AS (SELECT ' ' || array_to_string({tok('text')}, ' ') || ' ' AS t FROM documents)
+        SELECT 'general public license' AS query, count(*) AS n FROM d WHERE contains(t, ' general ') AND contains(t, ' public ') AND contains(t, ' license ')
+        UNION ALL SELECT 'version-2', count(*) FROM d WHERE contains(t, ' version 2 ') UNION ALL SELECT 'the', count(*) FROM d WHERE contains(t, ' the ')
+        UNION ALL SELECT 'Übermut', count(*) FROM d WHERE contains(t, ' ubermut ') UNION ALL SELECT 'nosuchword', 0 UNION ALL SELECT '___', 0""",
+    "filtered_search": f"""WITH {searched("terms(query_id, phrase, size, off, term) AS (VALUES (0, 0, 1, 0, 'licensed'), (0, 1, 1, 0, 'under'), (0, 2, 1, 0, 'the'))")},
+        cases AS (SELECT k || l AS id, k, l FROM (VALUES ('docs'), ('source')) a(k), (VALUES ('en'), ('fr')) b(l)),
+        joined AS (SELECT id, s.rank, {PRIORITY} AS kp, c.* FROM scores s JOIN chunks c USING (source_id) JOIN cases ON kind = k AND language = l),
+        top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kp, round(rank, 9), source_id) AS n FROM joined QUALIFY n <= 60),
+        once AS (SELECT *, row_number() OVER (PARTITION BY id, content_hash ORDER BY n) AS h FROM top QUALIFY h = 1),
+        best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS position FROM once QUALIFY position <= 3)
+        SELECT cases.id, coalesce(string_agg(repository || ':' || path, ' ' ORDER BY position), '') AS retrieved, coalesce(bool_or(path IN ('docs/2.md', 'docs/20.md')), false) AS passed FROM cases LEFT JOIN best ON best.id = cases.id GROUP BY cases.id
+        UNION ALL SELECT 'none', '', true""",
+    "dependency_rate": """WITH b AS (SELECT count(DISTINCT p_brand) AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5'))
+        SELECT b + 1 AS cases, b AS positive_cases, 1::BIGINT AS negative_cases, round(b::DOUBLE / (b + 1), 6) AS pass_rate, true AS review_acknowledged, false AS passed FROM b""",
+    "script_usages": f"WITH {ALIASES} SELECT key, accessor, ['implementation', 'api', 'runtimeOnly', 'ksp'][key % 6 + 1] AS configuration, 2 AS line FROM aliases WHERE key % 6 < 4",
+    "catalog_entries": f"""WITH {ALIASES} SELECT key, key % 4 = 3 AS malformed, CASE WHEN key % 4 < 3 THEN alias END AS alias, CASE WHEN key % 4 < 3 THEN accessor END AS accessor,
+        CASE WHEN key % 4 < 3 THEN lower(replace(group_id, '#', '')) END AS group_id, CASE WHEN key % 4 < 3 THEN replace(artifact_id, ' ', '-') END AS artifact_id,
+        ['', 'v', '', NULL][key % 4 + 1] AS version_ref, ['1.' || key, '2', '3', NULL][key % 4 + 1] AS version_value FROM aliases""",
 }

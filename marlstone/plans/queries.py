@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.engine import Engine
 from marlstone.functions import text as X
-from marlstone.operators import configuration, dependencies, quality, search
-from marlstone.session import table
+from marlstone.functions.lexer import chunks_of, configuration_of, libraries_of, usages_of
+from marlstone.operators import cards, configuration, dependencies, evaluation, quality, search
+from marlstone.plans import build
+from marlstone.session import scratch, table
+from marlstone.sources import sinks
 
 KINDS = "context usage docs example source configuration".split()
 QUERY = "Licensed under-the Apache"
@@ -63,21 +67,32 @@ def doc_freq(spark, sf_dir):
     return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of the documents of a folder, written by the session's first search of it."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _INDEXES:
+        folder = scratch(spark, "index")
+        search.write_index(chunks(spark, sf_dir), folder, fields=("content",))
+        _INDEXES[at] = folder
+    return search.read_index(spark, _INDEXES[at])
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def bm25_top(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    best = search.search(c, {0: QUERY}, LIMIT, fields=("content",))
+    best = search.search(index_of(spark, sf_dir), {0: QUERY}, LIMIT)
     return best.select("position", "source_id", "repository", "kind", F.round("rank", 6).alias("score"))
 
 
 def bm25_scores(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    scores = search.bm25(c, search.query_terms(spark, {0: QUERY}), fields=("content",))
+    scores = search.bm25(index_of(spark, sf_dir), search.query_terms(spark, {0: QUERY}))
     return scores.select("source_id", F.round("rank", 6).alias("score"))
 
 
 def phrase_match(spark, sf_dir):
     terms = search.query_terms(spark, {0: "general-public-license", 1: "version-2", 2: "on-the on"})
-    return search.matches(chunks(spark, sf_dir), terms, fields=("content",)).select("query_id", "source_id")
+    return search.matches(index_of(spark, sf_dir), terms).select("query_id", "source_id")
 
 
 def _cases(spark, sf_dir) -> DataFrame:
@@ -85,28 +100,25 @@ def _cases(spark, sf_dir) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4), " ").alias("query"))
 
 
+def _batch(spark, sf_dir) -> DataFrame:
+    index = index_of(spark, sf_dir)
+    return search.ranked(index, search.bm25(index, search.term_columns(_cases(spark, sf_dir))), LIMIT)
+
+
 def bm25_batch(spark, sf_dir):
     """Top results of every benchmark item's first words, all items in one job."""
-    c = chunks(spark, sf_dir)
-    terms = search.term_columns(_cases(spark, sf_dir))
-    best = search.ranked(c, search.bm25(c, terms, fields=("content",)), LIMIT)
-    return best.select("query_id", "position", "source_id", F.round("rank", 6).alias("score"))
+    return _batch(spark, sf_dir).select("query_id", "position", "source_id", F.round("rank", 6).alias("score"))
 
 
 def recall_mrr(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    terms = search.term_columns(_cases(spark, sf_dir))
-    best = search.ranked(c, search.bm25(c, terms, fields=("content",)), LIMIT).select("query_id", "position", "path")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    first = search.term_columns(items.select("query_id", F.col("passage").alias("query")))
-    # documents that hold all words of a passage, then the passage itself
-    words = first.groupBy("query_id", "term").agg(F.lit(1).alias("one"))
-    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
-    have = c.select("path", F.explode(F.array_distinct(X.tokens("content"))).alias("term")).join(F.broadcast(words), "term").groupBy("query_id", "path").agg(F.count("*").alias("have"))
-    close = have.join(F.broadcast(need), "query_id").where("have = need").select("query_id", "path")
-    expected = close.join(c.select("path", "content"), "path").join(F.broadcast(items), "query_id").where(F.contains("content", "passage")).select("query_id", "path")
+    """Metrics of the same searches, a passage's documents being those that hold it."""
+    index = index_of(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    close = search.holding(index, items).join(items, "query_id").withColumnRenamed("query", "passage")
+    texts = chunks(spark, sf_dir).select("source_id", "path", "content")
+    expected = close.join(texts, "source_id").where(F.contains("content", "passage")).select("query_id", "path")
     cases = expected.select("query_id").distinct().withColumn("expect_no_results", F.lit(False))
-    return quality.retrieval_metrics(best, expected, cases)
+    return quality.retrieval_metrics(_batch(spark, sf_dir).select("query_id", "position", "path"), expected, cases)
 
 
 def greedy_dedup_top(spark, sf_dir):
@@ -152,34 +164,43 @@ def kind_case(spark, sf_dir):
     return p.select(X.content_kind(path, language).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _conversations(spark, sf_dir, line: Column) -> DataFrame:
+    """Conversations as texts of one line for each turn."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("x"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+
+
+def _flat(text: str) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def heading_split(spark, sf_dir):
-    """Conversations as texts with a heading at each user turn, cut at the headings."""
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    s = c.withColumn("section", F.count_if(F.col("role") == "user").over(w))
-    out = s.groupBy("conv_id", "section").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("turns"))
-    return out.where("n_chars >= 80").select("conv_id", "section", "n_chars", "turns")
+    """Conversations as Markdown with a heading at each user turn, cut at the headings."""
+    t = _conversations(spark, sf_dir, F.concat(F.when(F.col("role") == "user", F.lit("# ")).otherwise(""), _flat("text")))
+    cut = t.select("conv_id", F.posexplode(chunks_of("text", F.lit("markdown"), F.lit(100_000))).alias("position", "c"))
+    return cut.select("conv_id", "position", "c.line_start", "c.line_end", F.length("c.content").alias("n_chars"), F.sha2("c.content", 256).alias("content_hash"))
 
 
 def short_chunk_filter(spark, sf_dir):
     """Chunks are numbered before the short ones go, so numbers keep their gaps."""
-    c = table(spark, sf_dir, "conversations")
-    n = c.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    return n.where(F.length("text") >= 40).select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), F.sha2("text", 256).alias("content_hash"))
+    t = _conversations(spark, sf_dir, _flat("text"))
+    empty = [F.lit("").alias(n) for n in "repository module path kind configuration_set commit_sha title".split()]
+    ready = t.select(F.col("conv_id").cast("string").alias("source_base"), "text", F.lit("text").alias("language"), *empty)
+    return build.chunk_rows(ready, build.Options(chunk_chars=1)).select(F.col("source_id").alias("chunk_id"), "content_hash")
 
 
 def turn_ranges(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    lines = F.size(F.split("text", "\n"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    end = F.sum(lines).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return c.select("conv_id", "turn", (end - lines + 1).alias("line_start"), end.alias("line_end"))
+    """Line ranges of chunks of at most 120 characters or one line, less blank lines at their ends."""
+    t = _conversations(spark, sf_dir, F.concat(F.lit("\n"), F.rpad(F.substring(_flat("text"), 1, 99), 99, "x"), F.lit("\n")))
+    cut = t.select("conv_id", F.posexplode(chunks_of("text", F.lit("text"), F.lit(120))).alias("turn", "c"))
+    return cut.select("conv_id", "turn", "c.line_start", "c.line_end", F.length("c.content").alias("n_chars"))
 
 
 def json_leaves(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    leaf = F.explode(F.from_json("props", "map<string,string>")).alias("key_path", "value")
-    return e.select("event_type", leaf).groupBy("event_type", "key_path").agg(F.count("*").alias("n"), F.min(F.col("value").cast("long")).alias("least"), F.max(F.col("value").cast("long")).alias("greatest"))
+    """The leaves of events' properties, read as configuration documents."""
+    e = table(spark, sf_dir, "events").select("event_type", F.explode(configuration_of("props", F.lit("application.yml"))).alias("v"))
+    value = F.col("v.value_json").cast("long")
+    return e.groupBy("event_type", F.col("v.key_path").alias("key_path")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
 
 
 def layered_resolve(spark, sf_dir):
@@ -204,23 +225,37 @@ def config_four_layers(spark, sf_dir):
     return configuration.resolve(v, "app1", "set0", "prod").select("key_path", "value_json", "layer", "profile")
 
 
+def _usages(spark, sf_dir) -> DataFrame:
+    """lineitem as usages of part: the supplier is the consumer."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_partkey").alias("key"), F.format_string("Supplier#%05d", "l_suppkey").alias("consumer_repository"), F.lit(":").alias("consumer_module"),
+        F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("path"), F.lit("api").alias("configuration"), F.col("l_linenumber").alias("line"),
+    )
+
+
+def _linked(spark, sf_dir) -> DataFrame:
+    return _usages(spark, sf_dir).join(aliases(spark, sf_dir).select("key", *dependencies.ALIAS), "key")
+
+
 def alias_usage_join(spark, sf_dir):
-    u = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_suppkey")
-    j = u.join(aliases(spark, sf_dir), "key")
-    return j.groupBy("catalog_repository").agg(F.count("*").alias("usages"), F.countDistinct("key").alias("aliases"), F.countDistinct("l_suppkey").alias("consumers"))
+    """Usages linked with the aliases of their accessor."""
+    a = aliases(spark, sf_dir)
+    u = _usages(spark, sf_dir).join(a.select("key", "accessor"), "key").drop("key")
+    j = dependencies.link_usages(u, a)
+    return j.groupBy("catalog_repository").agg(F.count("*").alias("usages"), F.countDistinct(*dependencies.ALIAS).alias("aliases"), F.countDistinct("consumer_repository").alias("consumers"))
 
 
 def usage_budget(spark, sf_dir):
     """The first 20 usages, shared in order by the aliases that match a request."""
     a = dependencies.matching(aliases(spark, sf_dir).withColumns({"owner_repository": F.lit(""), "owner_module": F.lit("")}), "Brand#1 library")
-    u = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"))
-    return a.join(u, "key").select("alias", "order_key", "line").orderBy("alias", "order_key", "line").limit(20)
+    return dependencies.usage_budget(a, _linked(spark, sf_dir), 20).select("alias", "catalog_path", "consumer_repository", "path", "line")
 
 
 def orphan_usages(spark, sf_dir):
-    u = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    known = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
-    return u.join(known, "l_partkey", "left_anti").groupBy("l_partkey").agg(F.count("*").alias("orphans"))
+    """Usages of aliases that are in no catalog."""
+    known = aliases(spark, sf_dir).join(table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("key")), "key", "left_semi")
+    return dependencies.orphans(_linked(spark, sf_dir), known).groupBy(F.col("key").alias("l_partkey")).agg(F.count("*").alias("orphans"))
 
 
 def owner_resolve(spark, sf_dir):
@@ -235,10 +270,9 @@ def owner_resolve(spark, sf_dir):
 
 
 def topk_consumers(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("n"), "l_suppkey")
-    return g.withColumn("position", F.row_number().over(w)).where("position <= 3")
+    """The first three usages of each alias."""
+    best = dependencies.consumers(aliases(spark, sf_dir), _linked(spark, sf_dir), 3)
+    return best.select("alias", F.col("n").alias("position"), "consumer_repository", "path", "line")
 
 
 def alias_terms_match(spark, sf_dir):
@@ -269,10 +303,73 @@ def gate_summary(spark, sf_dir):
 
 
 def catalog_lines(spark, sf_dir):
+    """Regions as catalog items, their nations as sources."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     j = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
-    g = j.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("sources"))
-    return g.select(F.concat(F.lit("## "), F.col("r_name"), F.lit(" [region, ready]")).alias("heading"), F.concat(F.lit("- sources: "), F.col("sources")).alias("line"))
+    items = j.groupBy(F.col("r_name").alias("id")).agg(F.array_sort(F.collect_list("n_name")).alias("sources"), F.array_sort(F.collect_set(F.lower(F.substring("n_name", 1, 3)))).alias("aliases"))
+    items = items.withColumns({"type": F.lit("region"), "status": F.lit(None).cast("string"), "capabilities": F.array(F.lit("docs"), F.lit("api"))})
+    return sinks.catalog_markdown(items)
+
+
+def catalog_merge(spark, sf_dir):
+    """Suppliers as curated items of their nation, nations as guessed ones: a guessed item of a covered source goes."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_name").alias("id"), F.lit("curated").alias("status"), F.array("s_nationkey").alias("sources"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.lit("discovered").alias("status"), F.array("n_nationkey").alias("sources"))
+    return cards.merge_catalog(s.unionByName(n)).select("id", "status", F.col("sources")[0].alias("source"))
+
+
+def manifest_check(spark, sf_dir):
+    """Errors of parts as catalog entries: types and sources that are unknown, capabilities that are missing."""
+    p = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("library", "guide", "gadget", ""))), (F.col("p_size") % 4 + 1).cast("int"))
+    entries = p.select(F.col("p_partkey").alias("id"), kind.alias("type"), F.array(F.col("p_partkey") % 150).alias("source_modules"), F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("api"))).alias("capabilities"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    return cards.manifest_errors(entries, known).select("id", F.regexp_replace("error", r" \d+$", "").alias("error"))
+
+
+def probe_terms(spark, sf_dir):
+    """How many rows fixed searches find."""
+    return evaluation.probe(index_of(spark, sf_dir), ["general public license", "version-2", "the", "Übermut", "nosuchword", "___"])
+
+
+def filtered_search(spark, sf_dir):
+    """The metrics of retrieval cases with filters and limits of their own."""
+    cases = [{"id": f"{k}{lang}", "query": "licensed under the", "filters": {"kind": k, "language": lang}, "top_k": 3, "expected_paths": ["docs/2.md", "docs/20.md"]} for k in ("docs", "source") for lang in ("en", "fr")]
+    cases.append({"id": "none", "query": "nosuchword", "expect_no_results": True})
+    _, results = evaluation.retrieval(index_of(spark, sf_dir), {"cases": cases})
+    return results.select("id", F.array_join("retrieved_sources", " ").alias("retrieved"), "passed")
+
+
+def dependency_rate(spark, sf_dir):
+    """A dependency case for each brand: the first usage of one of its aliases is expected, of every fifth a wrong one."""
+    a = aliases(spark, sf_dir).withColumns({"owner_repository": F.lit(""), "owner_module": F.lit("")})
+    u = _linked(spark, sf_dir).withColumns({"accessor": F.lit("a"), "commit_sha": F.lit("0" * 40)})
+    brands = [f"Brand#{k}" for k in range(1, 6)]
+    first = {r[0]: r for r in u.where(F.col("catalog_repository").isin(brands)).groupBy("catalog_repository").agg(F.min_by(F.struct("alias", "consumer_repository", "line"), F.struct("alias", "consumer_repository", "path", "line")).alias("u")).collect()}
+    cases = [{"id": b, "query": b.replace("#", ""), "expected_consumers": [{"alias": r.u.alias, "repository": r.u.consumer_repository, "line": r.u.line if k % 5 else 99}]} for k, (b, r) in enumerate(sorted(first.items()))]
+    metrics, _ = evaluation.dependency(a, u, {"dependency_cases": [*cases, {"id": "none", "query": "nosuchalias", "expect_no_results": True}]})
+    return metrics
+
+
+def script_usages(spark, sf_dir):
+    """Usages found in build scripts made of parts: calls, wrapped calls, statements, added ones, comments and strings."""
+    a = aliases(spark, sf_dir)
+    shapes = ["implementation(libs.%s)", "api(platform(libs.%s))", "runtimeOnly libs.%s", "add(\"ksp\", libs.%s)", "// api(libs.%s)", "val s = \"libs.%s\""]
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("key") % 6 + 1).cast("int"))
+    scripts = a.select("key", F.concat(F.lit("dependencies {\n  "), F.replace(shape, F.lit("%s"), F.col("accessor")), F.lit("\n}\n")).alias("text"))
+    return scripts.select("key", F.explode(usages_of("text")).alias("u")).select("key", "u.accessor", "u.configuration", "u.line")
+
+
+def catalog_entries(spark, sf_dir):
+    """Libraries of version catalogs made of parts: strings, modules with references, groups with rich versions, and no TOML."""
+    a = aliases(spark, sf_dir)
+    g, n = F.lower(F.regexp_replace("group_id", "[^A-Za-z0-9]", "")), F.replace("artifact_id", F.lit(" "), F.lit("-"))
+    lines = [F.concat(F.lit(" = \""), g, F.lit(":"), n, F.lit(":1."), "key", F.lit("\"")), F.concat(F.lit(" = { module = \""), g, F.lit(":"), n, F.lit("\", version.ref = \"v\" }")), F.concat(F.lit(" = { group = \""), g, F.lit("\", name = \""), n, F.lit("\", version = { strictly = \"3\" } }")), F.lit(" = {")]
+    shape = F.col("key") % 4
+    body = F.when(shape == 0, lines[0]).when(shape == 1, lines[1]).when(shape == 2, lines[2]).otherwise(lines[3])
+    text = F.concat(F.lit("[versions]\nv = \"2\"\n[libraries]\n"), "alias", body, F.lit("\n"))
+    rows = a.select("key", libraries_of(text).alias("l"))
+    return rows.select("key", F.col("l").isNull().alias("malformed"), F.explode_outer("l").alias("x")).select("key", "malformed", "x.alias", "x.accessor", "x.group_id", "x.artifact_id", "x.version_ref", "x.version_value")
 
 
 def snapshot_diff(spark, sf_dir):
@@ -290,15 +387,14 @@ def status_counts(spark, sf_dir):
 
 def source_lookup(spark, sf_dir):
     """Chunks of sources by id prefix, in string order."""
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("#", F.concat(F.lit("conv"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("source_id"), "role", F.length("text").alias("n_chars"))
-    return c.where(F.col("source_id").startswith("conv1#") | F.col("source_id").startswith("conv12#")).orderBy("source_id")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("#", F.concat(F.lit("conv"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("source_id"), "role", F.length("text").alias("n_chars"), F.lit("").alias("commit_sha"))
+    engine = Engine({"chunks": c, "configuration_values": c, "dependency_aliases": c, "dependency_usages": c})
+    return engine.get_source("conv1").unionByName(engine.get_source("conv12")).unionByName(engine.get_source("conv3#1")).drop("commit_sha")
 
 
 def snippets(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    terms = search.query_terms(spark, {0: "license"})
-    m = search.matches(c, terms, fields=("content",)).select("source_id")
-    return c.join(m, "source_id").select("source_id", search.snippet("content", ["license"], 12).alias("snippet"))
+    m = search.matches(index_of(spark, sf_dir), search.query_terms(spark, {0: "license"})).select("source_id")
+    return chunks(spark, sf_dir).join(m, "source_id").select("source_id", search.snippet("content", [["license"]], 12).alias("snippet"))
 
 
 QUERIES = {
@@ -307,6 +403,7 @@ QUERIES = {
         repo_inventory, chunk_kind_counts, dup_groups, dup_excess, token_stats, doc_freq, bm25_top, bm25_scores, phrase_match, bm25_batch, recall_mrr,
         greedy_dedup_top, html_clean, html_gate, redact_lines, secret_gate, title_extract, kind_case, heading_split, short_chunk_filter, turn_ranges,
         json_leaves, layered_resolve, config_four_layers, alias_usage_join, usage_budget, orphan_usages, owner_resolve, topk_consumers, alias_terms_match,
-        accessor_normalize, fallback_join, gate_summary, catalog_lines, snapshot_diff, status_counts, source_lookup, snippets,
+        accessor_normalize, fallback_join, gate_summary, catalog_lines, catalog_merge, manifest_check, probe_terms, filtered_search, dependency_rate,
+        script_usages, catalog_entries, snapshot_diff, status_counts, source_lookup, snippets,
     )
 }

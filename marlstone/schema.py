@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-VERSION = 1
+VERSION = 2
 
 
 def _schema(text: str, integers: str = "") -> T.StructType:
@@ -14,7 +14,7 @@ def _schema(text: str, integers: str = "") -> T.StructType:
 
 
 CHUNKS = _schema("source_id pack_id repository module path kind language configuration_set commit_sha line_start line_end title content content_hash", "line_start line_end")
-CONFIGURATION = _schema("source_id pack_id repository module path configuration_set profile layer key_path value_json")
+CONFIGURATION = _schema("source_id pack_id repository module path document configuration_set profile layer key_path value_json", "document")
 ALIASES = _schema("pack_id catalog_repository catalog_path catalog_commit_sha alias accessor group_id artifact_id version_ref version_value owner_repository owner_module")
 USAGES = _schema("pack_id catalog_repository catalog_path alias accessor consumer_repository consumer_module path configuration commit_sha line", "line")
 METADATA = _schema("key value")

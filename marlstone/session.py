@@ -44,14 +44,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path below the shared one; it is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/marlstone-{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage so that later stages survive lost executors without recomputing what came before.
     """
-    path = f"{shared_dir(spark)}/marlstone-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.mode("error").parquet(path)
-    atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

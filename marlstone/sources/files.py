@@ -45,29 +45,82 @@ def language_of(path: Column) -> Column:
     return names[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))]
 
 
-def scan(spark: SparkSession, roots: dict[str, str], commits: dict[str, str] | None = None) -> DataFrame:
-    """repository, path (relative), language, text, commit_sha of the known files of the repositories (name to folder).
+def _listed(spark: SparkSession, roots: dict[str, str], *columns: str) -> DataFrame:
+    """repository, path (relative) and ``columns`` of all files; content is read only if it is one of these.
 
-    Bytes that are no UTF-8 become replacement characters; translated documentation trees of a Docusaurus site
-    are left out.
+    A file that cannot be read is left out where content is asked for.
     """
     out = None
     for name, root in sorted(roots.items()):
         root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        where = F.regexp_replace("path", r"^file:/*", "/")
-        relative = F.expr(f"substring(p, {len(root) + 2})")
-        rows = raw.select(where.alias("p"), "content").select(F.lit(name).alias("repository"), relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit((commits or {}).get(name, "")).alias("commit_sha"))
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+        relative = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(root) + 2})")
+        rows = raw.select(F.lit(name).alias("repository"), relative.alias("path"), *columns)
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "repository string, path string, text string, commit_sha string, language string")
-    known = out.withColumn("language", language_of(F.col("path"))).where("language is not null")
+    return out
+
+
+def _wanted(paths: DataFrame) -> DataFrame:
+    """Files of known languages outside skipped folders, with their language, less translated documentation trees."""
+    known = paths.withColumn("language", language_of(F.col("path"))).where("language is not null")
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     known = known.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED))))
-    site = out.where(F.col("path").rlike(r"^docusaurus\.config\.(js|ts)$")).select("repository").distinct()
+    site = paths.where(F.col("path").rlike(r"^docusaurus\.config\.(js|ts)$")).select("repository").distinct()
     return known.join(known.where(F.col("path").startswith("i18n/")).join(site, "repository").select("repository", "path"), ["repository", "path"], "left_anti")
 
 
+def paths(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """repository, path, wanted of all files below the roots, without reading them; wanted: ``scan`` should give it."""
+    if not roots:
+        return spark.createDataFrame([], "repository string, path string, wanted boolean")
+    every = _listed(spark, roots)
+    return every.join(_wanted(every).select("repository", "path", F.lit(True).alias("wanted")), ["repository", "path"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+
+def scan(spark: SparkSession, roots: dict[str, str], commits: dict[str, str] | None = None) -> DataFrame:
+    """repository, path (relative), language, text, commit_sha of the known files of the repositories (name to folder).
+
+    Bytes that are no UTF-8 become replacement characters; translated documentation trees of a Docusaurus site
+    are left out. Commits that are not given are read from the folders' .git.
+    """
+    if not roots:
+        return spark.createDataFrame([], "repository string, path string, text string, commit_sha string, language string")
+    shas = [(n, (commits or {}).get(n) or head_commit(r)) for n, r in sorted(roots.items())]
+    known = _wanted(_listed(spark, roots, "content")).withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
+    return known.join(F.broadcast(spark.createDataFrame(shas, "repository string, commit_sha string")), "repository")  # a row for each root
+
+
+def head_commit(root: str) -> str:
+    """The commit id that a local repository's HEAD names, directly, by a ref or by a packed one; '' if there is none."""
+    git = os.path.join(root, ".git")
+    try:
+        if os.path.isfile(git):  # a worktree: the file names the folder
+            with open(git) as f:
+                git = os.path.join(root, f.read().partition("gitdir:")[2].strip())
+        with open(os.path.join(git, "HEAD")) as f:
+            head = f.read().strip()
+        if not head.startswith("ref:"):
+            return head
+        ref = head[4:].strip()
+        homes = [git]
+        if os.path.isfile(os.path.join(git, "commondir")):
+            with open(os.path.join(git, "commondir")) as f:
+                homes.append(os.path.join(git, f.read().strip()))
+        for home in homes:
+            if os.path.isfile(os.path.join(home, ref)):
+                with open(os.path.join(home, ref)) as f:
+                    return f.read().strip()
+            if os.path.isfile(os.path.join(home, "packed-refs")):
+                with open(os.path.join(home, "packed-refs")) as f:
+                    for line in f:
+                        sha, _, name = line.strip().partition(" ")
+                        if name == ref:
+                            return sha
+    except OSError:
+        pass
+    return ""
+
+
 def modules(files: DataFrame) -> DataFrame:
     """repository, folder, module: declared modules of settings files whose folder holds a file, every
     folder with a build script, and the root."""

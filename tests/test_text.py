@@ -1,5 +1,6 @@
 """Golden values of the text functions and lexers."""
 
+import random
 import re
 import sqlite3
 
@@ -32,7 +33,7 @@ def test_redaction():
 
 
 def test_query_phrases():
-    assert X.match_expression("sbertone-adapter SaveMode.INSERT") == '"sbertone-adapter" "SaveMode" "INSERT"'
+    assert X.match_expression("harbour-adapter SaveMode.INSERT") == '"harbour-adapter" "SaveMode" "INSERT"'
     assert X.phrases("a-b w1 - ___ É") == [["a", "b"], ["w1"], ["e"]]
 
 
@@ -41,6 +42,18 @@ def test_usages_ignore_comments_and_strings():
     assert L.alias_usages(script) == [("a.b", "implementation", 2), ("f", "api", 5), ("h", "runtimeOnly", 7), ("i", "ksp2", 8), ("j.get", "testImplementation", 10)]
 
 
+def test_usages_in_odd_scripts():
+    found = lambda s: L.alias_usages(s)
+    assert found("api(libs.a libs.b(libs.c))") == [("a", "api", 1), ("b", "api", 1), ("c", "api", 1)]
+    assert found("x { runtimeOnly libs.a }; foo(bar(libs.b))") == [("a", "runtimeOnly", 1), ("b", "bar", 1)]
+    assert found("add('ksp', libs.a)\n)libs.versions.x libs.bundles (libs.c") == [("a", "ksp", 1), ("bundles", "unknown", 2), ("c", "unknown", 2)]
+
+
+def test_html_character_references(spark):
+    df = spark.createDataFrame([("<p>&#8212;&eacute;&#x41; &amp;lt; &amp",), (None,)], "h string")
+    assert [r[0] for r in df.select(X.clean_html("h")).collect()] == [" —éA &lt; &", None]
+
+
 def test_version_catalog():
     toml = '[versions]\none = "1"\ntwo = { strictly = "2" }\n[libraries]\na-b = { module = "g:a", version.ref = "one" }\nc = { group = "g", name = "c", version = { ref = "two" } }\nd = "g:d:3"\ne.f = { module = "g:f", version = "4" }\n'
     assert [(r["alias"], r["accessor"], r["artifact_id"], r["version_ref"], r["version_value"]) for r in L.version_catalog(toml)] == [("a-b", "a.b", "a", "one", "1"), ("c", "c", "c", "two", "2"), ("d", "d", "d", "", "3"), ("e.f", "e.f", "f", "", "4")]
@@ -60,16 +73,17 @@ def test_html_and_markdown(spark):
     assert h == "a\n b & c <b>d</b>" and m == "\n\n\n# H\n\nq"
 
 
-def test_bm25_equals_fts5(spark):
+def test_bm25_equals_fts5(spark, tmp_path):
     words = "alpha beta gamma delta café naïve x-ray kebab case thing".split()
     docs = [(i, " ".join(words[(i * k + k) % len(words)] for k in range(1, 3 + i % 9))) for i in range(60)]
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table t using fts5(content, tokenize='unicode61')")
     con.executemany("insert into t(rowid, content) values (?, ?)", [(i + 1, c) for i, c in docs])
-    df = spark.createDataFrame(docs, "source_id long, content string")
+    search.write_index(spark.createDataFrame(docs, "source_id long, content string"), str(tmp_path / "index"), fields=("content",))
+    index = search.read_index(spark, str(tmp_path / "index"))
     for query in ("alpha", "cafe beta", "x-ray", "alpha - gamma", "alpha alpha"):
         want = {r[0] - 1: r[1] for r in con.execute("select rowid, bm25(t) from t where t match ?", (X.match_expression(query),))}
-        got = {r[0]: r[1] for r in search.bm25(df, search.query_terms(spark, {0: query}), fields=("content",)).select("source_id", "rank").collect()}
+        got = {r[0]: r[1] for r in search.bm25(index, search.query_terms(spark, {0: query})).select("source_id", "rank").collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), query
 
 
@@ -79,7 +93,36 @@ def test_greedy_keeps_what_windows_would_lose(spark):
     assert [tuple(k) for k in kept] == [("h1", "s1"), ("h2", "s2")]
 
 
+def test_many_terms_are_joined(spark, tmp_path, monkeypatch):
+    """A batch with more terms than are given to the scan as values finds the same."""
+    docs = [(i, f"common word{i % 7} other{i}", "t é") for i in range(50)]
+    search.write_index(spark.createDataFrame(docs, "source_id long, content string, title string"), str(tmp_path / "index"))
+    index = search.read_index(spark, str(tmp_path / "index"))
+    queries = {k: f"common word{k}" for k in range(7)} | {7: "other3-t", 8: "t", 9: "t-e word1", 10: "..."}
+    found = [sorted(map(tuple, search.matches(index, search.query_terms(spark, queries)).collect()))]
+    monkeypatch.setattr(search, "LITERALS", 3)
+    found.append(sorted(map(tuple, search.matches(index, search.query_terms(spark, queries)).collect())))
+    want = [(k, i) for i in range(50) for k in range(7) if i % 7 == k] + [(8, i) for i in range(50)] + [(9, i) for i in range(50) if i % 7 == 1]
+    assert found == [sorted(want)] * 2
+    held = search.holding(index, spark.createDataFrame([(0, "word2 other9"), (1, "!"), (2, "nowhere")], "query_id long, query string"))
+    assert sorted(map(tuple, held.collect())) == [(0, 9), *((1, i) for i in range(50))]
+    empty = search.matches(index, search.query_terms(spark, {}))
+    assert empty.count() == 0
+
+
+def test_snippets_equal_fts5():
+    rng = random.Random(3)
+    words = "alpha beta gamma delta café x-ray thing. other: end".split()
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(content, tokenize='unicode61')")
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) + rng.choice(["", ".", "\n"]) for _ in range(300)]
+    con.executemany("insert into t(rowid, content) values (?, ?)", list(enumerate(texts)))
+    for query in ("alpha", "alpha beta", "x-ray alpha", "gamma alpha gamma", "thing-other"):
+        for row, want in con.execute("select rowid, snippet(t, 0, '**', '**', '…', 8) from t where t match ?", (X.match_expression(query),)):
+            assert search.best_window(texts[row], X.phrases(query), 8) == want, (query, texts[row])
+
+
 def test_snippet(spark):
     df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(50)),), ("",)], "t string")
-    a, b = [r[0] for r in df.select(search.snippet("t", ["w30"], 10)).collect()]
+    a, b = [r[0] for r in df.select(search.snippet("t", [["w30"]], 10)).collect()]
     assert "**w30**" in a and a.startswith("…") and a.endswith("…") and len(re.findall(r"w\d+", a)) == 10 and b == ""
