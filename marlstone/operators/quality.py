@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import KIND_ORDER, TAG, secret_lines
+from marlstone.sources.files import valid_revision
 
 KINDS = (*KIND_ORDER, "configuration")
 
@@ -105,7 +106,7 @@ def audit_failures(audit: DataFrame, revisions: DataFrame, schema_version: int,
     def n(name: str) -> Column:
         return F.coalesce(F.col(name).cast("long"), F.lit(0)) if name in have else F.lit(0)
 
-    sources = revisions.agg(F.count("*").alias("_revisions"), F.count_if(~F.coalesce(F.col("commit").rlike("^[0-9a-f]{40,64}$"), F.lit(False))).alias("_bad"))
+    sources = revisions.agg(F.count("*").alias("_revisions"), F.count_if(~valid_revision("commit")).alias("_bad"))
     rules = (
         (n("schema_version") != schema_version, "another schema version"),
         (F.coalesce(F.col("fingerprint") if "fingerprint" in have else F.lit(""), F.lit("")) != fingerprint, "another index"),

@@ -28,6 +28,7 @@ class Options:
     chunk_chars: int = 7000
     short_chunk: int = 40
     priorities: tuple[int, int, int] = (2, 3, 10)  # of an owner: repository, module, curated card
+    strict: bool = False  # whether invalid cards and catalogs, all of them named, end the build
 
 
 def prepared(files: DataFrame, modules: DataFrame, options: Options) -> DataFrame:
@@ -124,6 +125,8 @@ def build(spark: SparkSession, roots: dict[str, str], options: Options | None =
     relations = {"chunks": chunk_rows(indexed, options), "configuration_values": configuration_rows(indexed, options), "dependency_aliases": aliases, "dependency_usages": usages, "knowledge_metadata": meta}
     relations = {n: materialise(spark, df.select(*schema.RELATIONS[n].names), n) for n, df in relations.items()}
     items = cards.merge_catalog(found.where("item is not null").select("item.*").unionByName(cards.guessed_items(modules)))
+    if options.strict and (wrong := [*found.where("item is null").select(X.source_name("repository", "path")).toLocalIterator(), *catalogs.where("libraries is null").select(X.source_name("repository", "path")).toLocalIterator()]):
+        raise ValueError("invalid context cards or version catalogs: " + ", ".join(sorted(r[0] for r in wrong)))
     audit = materialise(spark, audit_of(spark, options, listed, indexed, found, catalogs, relations, lost), "audit")
     return Built(relations, audit, materialise(spark, items, "catalog"))
 

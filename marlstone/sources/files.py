@@ -161,6 +161,3 @@ def configuration_set(repository: Column, path: Column, central: list[str]) -> C
     inside = F.when(F.contains(path, F.lit("/")), F.element_at(F.split(path, "/"), 1)).otherwise(repository)
     return F.when(repository.isin(central), inside).otherwise("") if central else F.lit("")
 
-
-def slug(text: str) -> str:
-    return "-".join(re.findall("[a-z0-9]+", text.lower()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone import schema
 from marlstone.engine import Engine
+from marlstone.functions.text import sync_progress
 from marlstone.operators import cards, evaluation, quality
 from marlstone.plans.build import Options, build
 from marlstone.sources import files as S
@@ -52,6 +53,11 @@ def built(spark, roots):
     return build(spark, roots, Options(pack="p", catalog_repositories=("platform", "fixture"), central=["config"]), dict.fromkeys(roots, "a" * 40))
 
 
+def test_strict_build_names_what_is_wrong(spark, roots):
+    with pytest.raises(ValueError, match="fixture:gradle/libs.versions.toml, fixture:project-context.yaml"):
+        build(spark, roots, Options(catalog_repositories=("platform", "fixture"), strict=True))
+
+
 def test_discovery(roots, tmp_path):
     assert sorted(roots) == ["app", "config", "fixture", "platform"]
     assert S.excluded_names("a # x\n\n#b\n c \n") == {"a", "c"}
@@ -136,6 +142,12 @@ def test_definitions(spark, tmp_path):
     assert evaluation.retrieval_cases({"top_k": 50, "cases": [{"id": "a", "query": "x", "expected_paths": ["p"]}]})[0]["top_k"] == 20
 
 
+def test_columns_of_sources(spark):
+    df = spark.createDataFrame([("r", ":a:b-adapter", "a/b-adapter", "sync_skipped_dirty", "a" * 40), ("r", ":", "", "ok", "abc"), ("r", ":x", "core-lib/x", "ok", None)], "repository string, module string, folder string, status string, sha string")
+    rows = df.select(S.is_library(F.col("module"), F.col("folder")), sync_progress("status"), S.valid_revision("sha")).collect()
+    assert [tuple(r) for r in rows] == [(True, "sync_skipped_dirty (sync skipped; the dirty working tree is indexed)", True), (False, "ok", False), (True, "ok", False)]
+
+
 def test_manifest(spark):
     manifest = {"sources": [{"id": "r", "modules": [{"id": ":m"}]}], "catalog": [{"id": "x", "type": "library", "source_modules": ["r::m"], "capabilities": ["api"]}]}
     assert sinks.catalog_markdown(cards.manifest_catalog(spark, manifest)).first().block == "## x [library, ready]\n- sources: r::m\n- capabilities: api\n"
