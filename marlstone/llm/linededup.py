@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 from marlstone.llm.decontaminate import cut_spans
-from marlstone.llm.neardup import packed_by_bucket
+from marlstone.llm.neardup import by_bucket, packed_by_bucket
 from marlstone.session import materialise, release, sized_broadcast, table
 
 #: Words that a repeated run has at least, to be removed.
@@ -96,7 +96,7 @@ def _seeds(buckets: int, n_words: int):
 
 def _repeated_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of the seeds that occur more than once; the rows come bucket by bucket."""
-    for _, rows in _by_bucket(batches):
+    for _, rows in by_bucket(batches):
         key = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
@@ -106,20 +106,6 @@ def _repeated_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in SEEDS])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of each bucket in turn, of rows sorted by bucket; only one bucket is held at a time."""
-    now, rows = None, []
-    for batch in batches:
-        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != now and rows:
-                yield now, rows
-                rows = []
-            now = bucket
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
 def _chunks(buckets: int, n_words: int):
     """Rows ``CHUNKS`` of the wanted lines' chunks; equal chunks of a packed row are sent once."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n, _ in PLACES), ("sizes", pa.binary()), ("bytes", pa.binary())])
@@ -204,7 +190,7 @@ def _compare(n_words: int):
     """Runs of windows that stand earlier in the corpus, ``RUNS``, from the chunks of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches):
+        for _, rows in by_bucket(batches):
             number: dict[bytes, int] = {}
             which = []
             for r in rows:

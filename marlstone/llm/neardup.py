@@ -11,6 +11,7 @@ verified on the exact shingle sets. Groups are the connected components of the v
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ THRESHOLD = 0.5
 #: strikes a member off if it is above the threshold and this.
 SLACK = 0.13
 
+#: Elements whose points are made, and pairs that are verified, at a time: what a task holds does not grow with its batches.
+ELEMENTS, PAIRS = 1 << 15, 500
 _POINTS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,18 +53,20 @@ def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 def _minima(h: np.ndarray, row: np.ndarray, limit: np.ndarray, n_rows: int, m: int) -> np.ndarray:
     """Least point of each register (rows by m) among points up to the row's limit; inf where none."""
     best = np.full(n_rows * m, np.inf)
-    x, first = np.zeros(len(h)), 0
     scale = -1.0 / (m * RATE)
-    while len(h):
-        steps = (np.arange(first + 1, first + 1 + _POINTS, dtype=np.uint64) * _STEP)[None, :]
-        z = W.mix(h[:, None] + steps)
-        u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        points = x[:, None] + np.cumsum(np.log(u) * scale, axis=1)
-        keep = points <= limit[row][:, None]
-        at = row[:, None] * m + (z & np.uint64(m - 1)).astype(np.int64)
-        np.minimum.at(best, at[keep], points[keep])
-        alive = keep[:, -1]
-        h, row, x, first = h[alive], row[alive], points[alive, -1], first + _POINTS
+    for lo in range(0, len(h), ELEMENTS):
+        hh, r = h[lo : lo + ELEMENTS], row[lo : lo + ELEMENTS]
+        x, first = np.zeros(len(hh)), 0
+        while len(hh):
+            steps = (np.arange(first + 1, first + 1 + _POINTS, dtype=np.uint64) * _STEP)[None, :]
+            z = W.mix(hh[:, None] + steps)
+            u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            points = x[:, None] + np.cumsum(np.log(u) * scale, axis=1)
+            keep = points <= limit[r][:, None]
+            at = r[:, None] * m + (z & np.uint64(m - 1)).astype(np.int64)
+            np.minimum.at(best, at[keep], points[keep])
+            alive = keep[:, -1]
+            hh, r, x, first = hh[alive], r[alive], points[alive, -1], first + _POINTS
     return best.reshape(n_rows, m)
 
 
@@ -155,6 +160,20 @@ def packed_by_bucket(buckets: int, keys: np.ndarray, *columns: np.ndarray) -> li
     return [(int(b), *(c[s:e].tobytes() for c in columns)) for b, s, e in zip(found, start, end)]
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """The rows of each bucket in turn, of rows sorted by bucket; only one bucket is held at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and rows:
+                yield now, rows
+                rows = []
+            now = bucket
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def collisions(reps: DataFrame, buckets: int) -> DataFrame:
     """(bucket_id, rep) of every band bucket with two or more members, buckets of equal members once."""
 
@@ -180,27 +199,25 @@ def collisions(reps: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if not keys:
-            return
-        key, rep = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(key, kind="stable")
-        key, rep = key[order], rep[order]
-        same = key[1:] == key[:-1]
-        hit = np.append(same, False) | np.insert(same, 0, False)
-        key, rep = key[hit], rep[hit]
-        if not len(key):
-            return
-        group = np.cumsum(np.insert(key[1:] != key[:-1], 0, False))
-        start = np.flatnonzero(np.insert(group[1:] != group[:-1], 0, True))
-        name = W.mix(np.add.reduceat(W.mix(rep.astype(np.uint64)), start))[group]  # of the set of members
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep)], names=["bucket_id", "rep"])
+        for _, rows in by_bucket(batches):
+            key = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+            rep = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
+            order = np.argsort(key, kind="stable")
+            key, rep = key[order], rep[order]
+            same = key[1:] == key[:-1]
+            hit = np.append(same, False) | np.insert(same, 0, False)
+            key, rep = key[hit], rep[hit]
+            if not len(key):
+                continue
+            group = np.cumsum(np.insert(key[1:] != key[:-1], 0, False))
+            start = np.flatnonzero(np.insert(group[1:] != group[:-1], 0, True))
+            name = W.mix(np.add.reduceat(W.mix(rep.astype(np.uint64)), start))[group]  # of the set of members
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep)], names=["bucket_id", "rep"])
 
     spreaded = reps.select("rep", "sketch").mapInArrow(spread, "bucket int, keys binary, reps binary")
-    return spreaded.repartition("bucket").mapInArrow(collide, "bucket_id long, rep long").dropDuplicates(["bucket_id", "rep"])
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = spreaded.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(collide, "bucket_id long, rep long").dropDuplicates(["bucket_id", "rep"])
 
 
 def likely_pairs(members: DataFrame, least: float, strike: float | None = None) -> DataFrame:
@@ -265,18 +282,20 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: list[list[np.ndarray]] = []
-            for column in (batch.column(2), batch.column(3)):
-                mine = []
-                for lo, hi, buf, off in W.blocks(column, lower=True):
-                    s, e = W.split(buf)
-                    h = W.span_hash(buf, s, e)
-                    cut = W.rows_of(off, s)
-                    mine += [np.unique(shingles(h[cut[r] : cut[r + 1]])) for r in range(hi - lo)]
-                sets.append(mine)
-            keep = pa.array([jaccard(x, y) >= threshold for x, y in zip(*sets)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+        for whole in batches:
+            for first in range(0, len(whole), PAIRS):
+                batch = whole.slice(first, PAIRS)
+                sets: list[list[np.ndarray]] = []
+                for column in (batch.column(2), batch.column(3)):
+                    mine = []
+                    for lo, hi, buf, off in W.blocks(column, lower=True):
+                        s, e = W.split(buf)
+                        h = W.span_hash(buf, s, e)
+                        cut = W.rows_of(off, s)
+                        mine += [np.unique(shingles(h[cut[r] : cut[r + 1]])) for r in range(hi - lo)]
+                    sets.append(mine)
+                keep = pa.array([jaccard(x, y) >= threshold for x, y in zip(*sets)], pa.bool_())
+                yield batch.select([0, 1]).filter(keep)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = materialise(spark, ids, "ids")
@@ -377,12 +396,14 @@ def uncut_groups(docs: DataFrame, uncut: DataFrame, threshold: float = THRESHOLD
     def derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                rest = iter(before.split())
-                keep.append(all(w in rest for w in text.split()))
+            for text, before in zip(b.column(1), b.column(2)):
+                rest = (m.group() for m in re.finditer(r"\S+", before.as_py() or ""))
+                keep.append(all(m.group() in rest for m in re.finditer(r"\S+", text.as_py() or "")))
             yield b.select([0]).filter(pa.array(keep, pa.bool_()))
 
-    same = left.join(whole, "doc_id").select("doc_id", "text", "whole").mapInArrow(derived, "doc_id long").distinct()
+    cut = F.col("text") != F.col("whole")  # texts that nothing was cut out of need no comparison: they go as nulls
+    both = left.join(whole, "doc_id").select("doc_id", *(F.when(cut, F.col(c)).alias(c) for c in ("text", "whole")))
+    same = both.mapInArrow(derived, "doc_id long").distinct()
     held = materialise(spark, groups.join(same, "doc_id", "left_semi"), "held")
     release(sketches, groups)
     least = held.groupBy("group_id").agg(F.min("doc_id").alias("least"))
