@@ -270,13 +270,13 @@ def _spans(docs: DataFrame, n_words: int) -> DataFrame:
     def placed(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    seeds = texts.mapInArrow(_seeds(buckets, n_words), "bucket int, keys binary, " + ", ".join(f"{n} binary" for n, _ in SEEDS))
-    found = placed(seeds).mapInArrow(_repeated_seeds, "doc long, word int")
+    seeds = texts.mapInArrow(W.lean(_seeds(buckets, n_words)), "bucket int, keys binary, " + ", ".join(f"{n} binary" for n, _ in SEEDS))
+    found = placed(seeds).mapInArrow(W.lean(_repeated_seeds), "doc long, word int")
     wants = materialise(spark, found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("word").alias("wants")), "wants")
     affected = texts.join(sized_broadcast(wants.select("doc_id")), "doc_id", "left_semi").join(sized_broadcast(wants), "doc_id")
     affected = affected.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "wants")
-    runs = placed(affected.mapInArrow(_chunks(buckets, n_words), CHUNKS)).mapInArrow(_compare(n_words), RUNS)
-    spans = runs.repartition("doc").mapInArrow(_merge, "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long")
+    runs = placed(affected.mapInArrow(W.lean(_chunks(buckets, n_words)), CHUNKS)).mapInArrow(W.lean(_compare(n_words)), RUNS)
+    spans = runs.repartition("doc").mapInArrow(W.lean(_merge), "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long")
     spans = materialise(spark, spans, "repeats")
     release(wants)
     return spans

@@ -334,7 +334,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids), mask=pa.array(gone))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(cut).astype(np.int32), mask=gone), lists.cast(kind), pa.array(same, mask=gone)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(W.lean(run), "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def bad_words(sample: DataFrame, least_share: float = MIN_BAD) -> list[str]:
                 kinds = list(words_and_stats(text)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([good] * len(kinds), pa.int32())], names=["word", "good"])
 
-    count = sample.select("good", "text").mapInArrow(words, "word string, good int").groupBy("word").agg(F.count_if(F.col("good") == 0).alias("bad"), F.count_if(F.col("good") == 1).alias("good"))
+    count = sample.select("good", "text").mapInArrow(W.lean(words), "word string, good int").groupBy("word").agg(F.count_if(F.col("good") == 0).alias("bad"), F.count_if(F.col("good") == 1).alias("good"))
     p, q = F.col("bad") / n0, F.col("good") / n1
     m = (F.col("bad") + F.col("good")) / (n0 + n1)
     z = (p - q) / F.sqrt(F.greatest(m * (1 - m), F.lit(1e-9)) * (1 / n0 + 1 / n1))
@@ -157,7 +157,7 @@ def fit(sample: DataFrame) -> Scorer:
             hits = [sorted(number[w] for w in words if w in number) for words, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["doc_id", "good", "hits", "stats"])
 
-    rows = sample.select("doc_id", "good", "text").mapInArrow(features, "doc_id long, good int, hits array<int>, stats array<double>").collect()  # bounded by the sample's size
+    rows = sample.select("doc_id", "good", "text").mapInArrow(W.lean(features), "doc_id long, good int, hits array<int>, stats array<double>").collect()  # bounded by the sample's size
     rows.sort(key=lambda r: (r["doc_id"], r["good"], r["stats"], r["hits"]))
     y = np.array([r["good"] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
@@ -185,7 +185,7 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(W.lean(run), "doc_id long, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, all_scores: bool = True) -> tuple[Scorer, float | None, DataFrame]:
@@ -236,7 +236,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(b.column(1).to_pylist()) >= threshold))
 
-    return filled.mapInArrow(run, base.schema)
+    return filled.mapInArrow(W.lean(run), base.schema)
 
 
 def scored_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marlstone import session
 from marlstone.llm import decontaminate, licenses, linededup, neardup, pieces, quality, rules, tokencounts, urltemplates, wrappers
 from marlstone.llm import words as W
 
@@ -64,6 +65,25 @@ def test_words_agree_with_the_expression():
     assert seen[0] == plain_words(texts[0])
 
 
+def test_a_task_holds_a_few_mb_of_texts(spark, monkeypatch):
+    """Workers get batches of bounded bytes while a table is written, and lower-case one block at a time."""
+    rows = spark.range(120).select(F.col("id").alias("doc_id"), F.repeat(F.lit("Some Words "), 20_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    key, before = session._ARROW, spark.conf.get(session._ARROW, None)
+    most = session.materialise(spark, rows.mapInArrow(W.lean(sizes), "n long"), "sizes").agg(F.max("n"), F.sum("n")).first()
+    assert most[0] <= 2 * session.ARROW_BYTES and most[1] >= 120 * 220_000 and spark.conf.get(key, None) == before
+    seen, whole = [], W.as_strings
+    monkeypatch.setattr(W, "as_strings", lambda c, lower: (seen.append(c.nbytes), whole(c, lower))[1])
+    column = pa.array(["A b " * 50_000, None, "", "Ünï c " * 10] * 12)
+    got = [(lo + r, bytes(buf[off[r] : off[r + 1]])) for lo, hi, buf, off in W.blocks(column.slice(1), lower=True) for r in range(hi - lo)]
+    assert got == [(i, ((t or "").lower() + "\n").encode()) for i, t in enumerate(column.to_pylist()[1:])]
+    assert max(seen) <= 2 * W.BLOCK_BYTES
+
+
 def test_span_hash_depends_on_bytes_only():
     buf = np.frombuffer(b"abc xabc abcd cba abc", np.uint8)
     s, e = W.split(buf)
