@@ -509,6 +509,48 @@ def test_members_that_fail_verification_are_compared(spark):
     assert got == {g + i: g + 1 for g in range(0, 60, 3) for i in (1, 2)}
 
 
+def test_links_of_members_that_others_stand_for(spark):
+    """One bucket: a and b, c and d are copies, and b resembles c; a resembles neither c nor d, and d not b."""
+    rng = random.Random(41)
+    word = lambda n: ["".join(rng.choices("abcdefghijklmno", k=7)) for _ in range(n)]
+    found, rows = [], []
+    for g in range(0, 48, 4):
+        both = word(420)
+        b, c = both + word(180), both + word(180)
+        rows += [(g + i, " ".join(t)) for i, t in enumerate([word(90) + b[90:], c[:330] + word(90) + c[420:], b, c])]
+        found += [(g, g + i) for i in range(4)]
+    docs, buckets = docs_of(spark, rows), spark.createDataFrame(found, "bucket_id long, rep long").collect()
+    before, neardup.collisions = neardup.collisions, lambda *_: spark.createDataFrame(buckets)
+    try:
+        got = {r.doc_id: r.group_id for r in neardup.near_groups(docs).collect()}
+    finally:
+        neardup.collisions = before
+    sets = shingle_sets([t for _, t in rows])
+    for g in range(0, 48, 4):
+        a, d, b, c = sets[g : g + 4]
+        assert min(neardup.jaccard(a, b), neardup.jaccard(b, c), neardup.jaccard(c, d)) >= 0.5 > max(neardup.jaccard(a, c), neardup.jaccard(a, d), neardup.jaccard(b, d))
+    assert got == {g + i: g for g in range(0, 48, 4) for i in range(4)}
+
+
+def test_pairs_of_a_large_bucket_grow_with_its_members(spark):
+    """Members that all resemble each other by about 0.55: few pairs are verified, and they are one group."""
+    rng, n = np.random.default_rng(43), 400
+    base = np.array(["".join(rng.choice(list("abcdefghijklmno"), 7)) for _ in range(300)])
+    rows = []
+    for i in range(n):
+        at = int(rng.integers(0, 220))
+        own = ["".join(rng.choice(list("abcdefghijklmno"), 7)) for _ in range(80)]
+        rows.append((i, " ".join([*base[:at], *own, *base[at + 80 :]])))
+    docs, pairs = docs_of(spark, rows), []
+    before, neardup.verified = neardup.verified, lambda p, *x: (pairs.append(p.count()), before(p, *x))[1]
+    try:
+        got = {r.doc_id: r.group_id for r in neardup.near_groups(docs).collect()}
+    finally:
+        neardup.verified = before
+    assert got == dict.fromkeys(range(n), 0)
+    assert sum(pairs) < n * (n - 1) / 2 / 5
+
+
 def test_recall_near_the_threshold(spark):
     """Pairs with a similarity of 0.5 to 0.6, where it is hardest: at least 0.9 are found, and no pair below 0.5."""
     rng = random.Random(31)
