@@ -27,8 +27,6 @@ from marlstone.session import materialise, sized_broadcast, table
 
 #: A token is "#" (text), a tag, ("+", items) a repeated group or ("?", items) an optional one.
 Item = str | tuple
-#: Cells of an alignment's table; a longer stretch of two streams that share no unique item is not aligned.
-CELLS = 1_000_000
 #: Shards that the streams of a host are folded and aligned in before what they found is put together.
 SHARDS = 64
 
@@ -141,21 +139,20 @@ def merge(w: list[Item], p: list[Item]) -> list[Item]:
     blocks next to a repeated group of the same block part of it.
 
     Equal ends and, between them, items that stand once on either side in the same order (a longest
-    increasing sequence of them) are fixed; only the stretches between are aligned in a table.
+    increasing sequence of them) are fixed; the stretches between are aligned in a table, whatever their length.
     """
     out: list[Item] = []
     i = j = 0
     for a, b in [*_anchors(w, p), (len(w), len(p))]:
-        x, y = w[i:a], p[j:b]
-        out += _align(x, y) if (len(x) + 1) * (len(y) + 1) <= CELLS else _optional(x) + _optional(y)
+        out += _align(w[i:a], p[j:b])
         out += w[a : a + 1]
         i, j = a + 1, b + 1
     return fold(out)
 
 
 def _anchors(w: list[Item], p: list[Item]) -> list[tuple[int, int]]:
-    """Pairs of places of equal items, in order, that an alignment keeps: equal ends, in stretches too long
-    for a quick table also what is unique by the eight items that begin there, then what is unique alone."""
+    """Pairs of places of equal items, in order, that an alignment keeps: equal ends, between them what is
+    unique by the eight items that begin there, then what is unique alone."""
     n = min(len(w), len(p))
     head = next((k for k in range(n) if w[k] != p[k]), n)
     tail = next((k for k in range(n - head) if w[-1 - k] != p[-1 - k]), n - head)
@@ -164,7 +161,7 @@ def _anchors(w: list[Item], p: list[Item]) -> list[tuple[int, int]]:
         i = j = 0
         found: list[tuple[int, int]] = []
         for a, b in [*fixed, (len(w) - tail, len(p) - tail)]:
-            if (a - i) * (b - j) > CELLS // 100:
+            if a > i and b > j:
                 found += _unique(w, p, range(i, a), range(j, b), width)
             i, j = a + 1, b + 1
         fixed = sorted({*fixed, *found})
@@ -203,35 +200,40 @@ def _align(w: list[Item], p: list[Item]) -> list[Item]:
         return k if tuple(seq[i : i + k]) == group[1] else 0
 
     score = np.zeros((n + 1, m + 1), np.int32)
-    step: dict[tuple[int, int], tuple[int, int, str]] = {}
+    step = np.zeros((n + 1, m + 1), np.uint8)  # which of "wp=og", from 1
     for i in range(n, -1, -1):
         for j in range(m, -1, -1):
-            best, how = 0, None
+            best, how = 0, 0
             if i < n and score[i + 1, j] >= best:
-                best, how = score[i + 1, j], (i + 1, j, "w")
-            if j < m and score[i, j + 1] > best or how is None and j < m:
-                best, how = score[i, j + 1], (i, j + 1, "p")
+                best, how = score[i + 1, j], 1
+            if j < m and score[i, j + 1] > best or not how and j < m:
+                best, how = score[i, j + 1], 2
             if i < n and j < m:
                 x = w[i]
                 inner = x[1][0] if isinstance(x, tuple) and x[0] == "?" and len(x[1]) == 1 else x
                 if _same(inner, p[j]) and score[i + 1, j + 1] + 2 > best:
-                    best, how = score[i + 1, j + 1] + 2, (i + 1, j + 1, "=")
+                    best, how = score[i + 1, j + 1] + 2, 3
                 if isinstance(x, tuple) and x[0] == "?" and len(x[1]) > 1 and tuple(p[j : j + len(x[1])]) == x[1]:
                     k = len(x[1])
                     if score[i + 1, j + k] + 2 * k > best:
-                        best, how = score[i + 1, j + k] + 2 * k, (i + 1, j + k, "o")
+                        best, how = score[i + 1, j + k] + 2 * k, 4
                 if isinstance(inner, tuple) and inner[0] == "+" and (k := width(p, j, inner)) and score[i + 1, j + k] + 2 * k > best:
-                    best, how = score[i + 1, j + k] + 2 * k, (i + 1, j + k, "o")
+                    best, how = score[i + 1, j + k] + 2 * k, 4
                 if isinstance(p[j], tuple) and p[j][0] == "+" and (k := width(w, i, p[j])) and score[i + k, j + 1] + 2 * k > best:
-                    best, how = score[i + k, j + 1] + 2 * k, (i + k, j + 1, "g")
+                    best, how = score[i + k, j + 1] + 2 * k, 5
             score[i, j] = best
-            if how:
-                step[i, j] = how
+            step[i, j] = how
     out: list[Item] = []
     loose: dict[str, list[Item]] = {"w": [], "p": []}
     i = j = 0
-    while (i, j) in step:
-        a, b, how = step[i, j]
+    while step[i, j]:
+        how = " wp=og"[step[i, j]]
+        a, b = i + (how != "p"), j + (how != "w")
+        if how == "g":
+            a = i + len(p[j][1])
+        elif how == "o":
+            x = w[i]
+            b = j + len((x[1][0] if x[0] == "?" and len(x[1]) == 1 else x)[1])
         if how in "wp":
             loose[how].append(w[i] if how == "w" else p[j])
         else:

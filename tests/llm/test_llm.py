@@ -681,6 +681,18 @@ def test_long_pages(spark):
     assert [r.matched for r in wrappers.extract(df).collect()] == [True] * 3
 
 
+def test_long_streams_are_aligned_like_short_ones():
+    """Streams in which all stands twice, so that no item is unique: what they share is not optional, at any length."""
+    rng = random.Random(51)
+    for n in (20, 600):
+        base = [rng.choice("abcdefg") for _ in range(n)]
+        less = [x for k, x in enumerate(base) if k % 10]
+        base, other = [*base, "m", *base], ["z", "z", *less, "q", *less, "y", "y"]
+        merged = wrappers.merge(base, other)
+        assert all(wrappers.match(merged, s) is not None for s in (base, other))
+        assert sum(x[0] != "?" for x in merged) > 0.5 * len(wrappers.fold(base))
+
+
 def test_extraction_drops_the_template(spark):
     page = lambda k, n: f"<html><!-- c --><script>var a='<p>';</script><div class='top'>Same &amp; top</div><ul>{''.join(f'<li>item {k}{j}</li>' for j in range(n))}</ul><p>Text {k}</p><footer>Same foot</footer></html>"
     rows = [(k, f"https://h.example/{k}", page(k, k + 1)) for k in range(4)] + [(9, "http://alone.example/", "<p>all &lt;text"), (10, None, None), (11, "bad url", ""), (0, "https://h.example/0", page(0, 1)), (None, "https://h.example/7", page(7, 2))]
