@@ -54,6 +54,13 @@ def test_html_character_references(spark):
     assert [r[0] for r in df.select(X.clean_html("h")).collect()] == [" —éA &lt; &", None]
 
 
+def test_html_references_without_semicolon(spark):
+    """Only ``&amp`` is one without its semicolon, as in the query's SQL."""
+    texts = ["token = &quot", "a&copy b&#39 c&notit; d&amp e&ampere &amp;quot; &quot;&#39;", "?x=1&lt=2&unknown;"]
+    df = spark.createDataFrame([(t,) for t in texts], "h string")
+    assert [r[0] for r in df.select(X.clean_html("h")).collect()] == ["token = &quot", "a&copy b&#39 c&notit; d& e&ere &quot; \"'", "?x=1&lt=2&unknown;"]
+
+
 def test_version_catalog():
     toml = '[versions]\none = "1"\ntwo = { strictly = "2" }\n[libraries]\na-b = { module = "g:a", version.ref = "one" }\nc = { group = "g", name = "c", version = { ref = "two" } }\nd = "g:d:3"\ne.f = { module = "g:f", version = "4" }\n'
     assert [(r["alias"], r["accessor"], r["artifact_id"], r["version_ref"], r["version_value"]) for r in L.version_catalog(toml)] == [("a-b", "a.b", "a", "one", "1"), ("c", "c", "c", "two", "2"), ("d", "d", "d", "", "3"), ("e.f", "e.f", "f", "", "4")]
