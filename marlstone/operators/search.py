@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import ACCENTS, PLAIN, kind_priority, phrases, tokens
-from marlstone.session import materialise
+from marlstone.session import lean, materialise, sized_broadcast, small_batches
 
 K1, B = 1.2, 0.75
 #: Folders that postings are spread over by the hash of their term.
 BUCKETS = 32
+#: Characters of text whose postings of one bucket are one slice, that is about a task's work, times the buckets.
+SLICE_CHARS = 4 << 20
+#: Characters of text that one task makes postings of; its output, about 15 bytes a character, waits in memory for the shuffle.
+TASK_CHARS = 8 << 20
 #: Terms of a batch that are given to the scan as values; more are joined.
 LITERALS = 4000
 #: Rows fetched for each result asked for, before de-duplication.
@@ -99,23 +103,30 @@ def grouped_postings(arrays: DataFrame, key: str, fields: tuple[str, ...]) -> Da
                 columns = [term.dictionary.take(pa.array(code[s])), b.column(0).take(at), pa.array([field] * len(s)), pa.array((e - s).astype(np.int32)), positions, b.column(2).take(at), b.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", key, "field", "tf", "positions", "dl", "kind_priority"])
 
-    return arrays.select(key, "kind_priority", "dl", *fields).mapInArrow(run, schema)
+    return arrays.select(key, "kind_priority", "dl", *fields).mapInArrow(lean(run), schema)
 
 
 def write_index(chunks: DataFrame, folder: str, key: str = "source_id", fields: tuple[str, ...] = ("title", "content"), buckets: int = BUCKETS) -> None:
     """Write the index of ``chunks`` into a new folder.
 
-    A bucket is cut into as many slices of rows as the session's shuffle partitions allow, so that neither a
-    bucket nor a frequent term is the work of one task. A chunk without terms counts as a row of length 0.
+    A bucket is cut into slices of rows, as many as the length of all texts asks for or the session's shuffle
+    partitions allow: neither a bucket nor a frequent term is the work of one task, and no task's work grows with the
+    texts. A chunk without terms counts as a row of length 0.
     """
     spark = chunks.sparkSession
     kind = kind_priority("kind") if "kind" in chunks.columns else F.lit(0)
-    arrays = chunks.select(key, kind.alias("kind_priority"), *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields))
+    texts = chunks.select(key, kind.alias("kind_priority"), *(F.coalesce(f, F.lit("")).alias(f) for f in fields))
+    chars = texts.agg(F.sum(sum((F.length(f) for f in fields), F.lit(0)).cast("long"))).first()[0] or 0
+    if chars > TASK_CHARS:  # the scan's tasks may be of any size
+        texts = texts.repartition(max(-(-chars // TASK_CHARS), spark.sparkContext.defaultParallelism), key)
+    arrays = texts.select(key, "kind_priority", *(tokens(f).alias(f) for f in fields))
     arrays = arrays.withColumn("dl", sum((F.size(f) for f in fields), F.lit(0)))
     rows = grouped_postings(arrays, key, fields).withColumn("bucket", _bucket("term", buckets))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = F.pmod(F.xxhash64(key), F.lit(max(1, parts // buckets)))
-    rows.repartition(parts, "bucket", slices).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    slices = max(1, parts // buckets, -(-chars // (SLICE_CHARS * buckets)))
+    place = F.col("bucket") * slices + F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+    with small_batches(spark):
+        rows.repartitionById(buckets * slices, place).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
     chunks.drop("content").write.parquet(f"{folder}/rows")
     n = spark.read.parquet(f"{folder}/rows").count()
     total = spark.read.parquet(f"{folder}/postings").agg(F.sum("tf")).first()[0] or 0
@@ -131,13 +142,16 @@ def read_index(spark: SparkSession, folder: str) -> Index:
 
 
 def lookup(index: Index, terms: DataFrame) -> DataFrame:
-    """The columns of ``terms`` with the postings of each; few terms are values that the scan skips row groups by."""
+    """The columns of ``terms`` with the postings of each; few terms are values that the scan skips row groups by.
+
+    Terms are broadcast where their size is small: a shuffle would bring all postings of a term into one task.
+    """
     bucketed = terms.withColumn("bucket", _bucket("term", index.buckets))
     few = bucketed.select("term", "bucket").distinct().limit(LITERALS + 1).collect()
     if len(few) > LITERALS:
-        return index.postings.join(bucketed, ["bucket", "term"]).drop("bucket")
+        return index.postings.join(sized_broadcast(bucketed), ["bucket", "term"]).drop("bucket")
     chosen = F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few}))
-    return index.postings.where(chosen).drop("bucket").join(terms, "term")
+    return index.postings.where(chosen).drop("bucket").join(sized_broadcast(terms), "term")
 
 
 def asked_phrases(terms: DataFrame) -> DataFrame:
@@ -157,9 +171,11 @@ def phrase_frequencies(index: Index, asked: DataFrame) -> DataFrame:
     several = different.where(F.size("terms") > 1).select("text", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     found = lookup(index, single).groupBy("text", *place).agg(F.sum("tf").alias("tf"))
     if not several.isEmpty():
-        starts = lookup(index, several).select("text", "size", "field", *place, "offset", F.explode("positions").alias("pos"))
-        starts = starts.groupBy("text", "size", "field", *place, (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
-        found = found.unionByName(starts.where("n = size").groupBy("text", *place).agg(F.count("*").alias("tf")))
+        starts = F.transform("positions", lambda p: p - F.col("offset"))
+        each = lookup(index, several).select("text", "size", "field", *place, starts.alias("starts"))
+        each = each.groupBy("text", "size", "field", *place).agg(F.collect_list("starts").alias("starts")).where(F.size("starts") == F.col("size"))
+        common = F.aggregate("starts", F.col("starts")[0], F.array_intersect)
+        found = found.unionByName(each.select("text", *place, F.size(common).alias("n")).where("n > 0").groupBy("text", *place).agg(F.sum("n").alias("tf")))
     return materialise(asked.sparkSession, found, "phrases")
 
 
@@ -171,9 +187,9 @@ def conjunctions(index: Index, terms: DataFrame) -> DataFrame:
     asked = asked_phrases(terms)
     found = phrase_frequencies(index, asked)
     df = found.groupBy("text").agg(F.count("*").alias("df"))
-    known = asked.drop("terms").join(df, "text", "left")
+    known = sized_broadcast(materialise(terms.sparkSession, asked.drop("terms").join(df, "text", "left"), "known"))
     queries = known.groupBy("query_id").agg(F.min_by("text", F.struct("df", "text")).alias("text"), F.count("*").alias("n"), F.count("df").alias("have")).where("n = have")
-    rows = queries.join(found.select("text", index.key), "text").select("query_id", index.key, "n")
+    rows = found.select("text", index.key).join(sized_broadcast(queries), "text").select("query_id", index.key, "n")
     every = rows.join(known, "query_id").join(found, ["text", index.key])
     return every.withColumn("_all", F.count("*").over(Window.partitionBy("query_id", index.key))).where("_all = n").drop("_all", "n", "text")
 

@@ -117,6 +117,34 @@ def test_many_terms_are_joined(spark, tmp_path, monkeypatch):
     assert empty.count() == 0
 
 
+def test_index_tasks_follow_the_texts(spark, tmp_path, monkeypatch):
+    """Longer texts make more slices of a bucket, not larger ones, and the same results."""
+    docs = [(i, f"on the on the way {i % 5} the on" + " on" * (i % 3)) for i in range(200)]
+    queries = {0: "on-the-on", 1: "the-the", 2: "on-on the", 3: "way-3"}
+    found, files = [], []
+    for name in ("whole", "cut"):
+        if name == "cut":
+            monkeypatch.setattr(search, "SLICE_CHARS", 40)
+            monkeypatch.setattr(search, "TASK_CHARS", 500)
+        folder = tmp_path / name
+        search.write_index(spark.createDataFrame(docs, "source_id long, content string"), str(folder), fields=("content",))
+        files.append(len(list(folder.glob("postings/*/*.parquet"))))
+        index = search.read_index(spark, str(folder))
+        rows = search.conjunctions(index, search.query_terms(spark, queries)).select("query_id", "source_id", "tf", "df")
+        found.append(sorted(map(tuple, rows.collect())))
+    words = {i: t.split() for i, t in docs}
+    runs = lambda i, p: sum(words[i][k : k + len(p)] == p for k in range(len(words[i])))
+    want = {(0, i, runs(i, ["on", "the", "on"])) for i in words} | {(2, i, runs(i, ["on", "on"])) for i in words if i % 3} | {(2, i, 3) for i in words if i % 3} | {(3, i, 1) for i in words if i % 5 == 3}
+    assert found[0] == found[1] and {r[:3] for r in found[0]} == want and files[1] > files[0]
+
+
+def test_small_terms_are_broadcast(spark, tmp_path):
+    """No shuffle brings the postings of a term together."""
+    search.write_index(spark.createDataFrame([(i, "common word") for i in range(50)], "source_id long, content string"), str(tmp_path / "index"), fields=("content",))
+    plan = search.lookup(search.read_index(spark, str(tmp_path / "index")), search.query_terms(spark, {0: "common"}))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_snippets_equal_fts5():
     rng = random.Random(3)
     words = "alpha beta gamma delta café x-ray thing. other: end".split()
