@@ -260,3 +260,16 @@ def test_draft_cases_and_audit(spark, built):
     bad = good.withColumns({"schema_version": F.lit(2), "files_unreadable": F.lit(3)})
     assert quality.audit_failures(bad, revisions.limit(3), 1, "f").first()[0] == ["another schema version", "revisions do not cover the sources", "unreadable files"]
     assert [r[0] for r in quality.first_offenders(relations["chunks"], F.col("kind") == "usage", "path").collect()] == ["docs/usage/use.md"]
+
+
+def test_links_are_spread_by_the_number_of_usages(spark, monkeypatch):
+    """Tasks follow the usages' number, and what is linked stays the same."""
+    from marlstone import session
+    from marlstone.operators import dependencies
+
+    aliases = spark.createDataFrame([("c", "p", f"a{i}", f"a{i}") for i in range(20)], "catalog_repository string, catalog_path string, alias string, accessor string")
+    usages = spark.createDataFrame([(f"a{i % 25}" + (".get" if i % 2 else ""), f"r{i % 3}", ":", f"p{i % 60}", "api", i % 60) for i in range(120)], "accessor string, consumer_repository string, consumer_module string, path string, configuration string, line int")
+    whole = sorted(map(tuple, dependencies.link_usages(usages, aliases).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.spread(usages, "accessor").rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, dependencies.link_usages(usages, aliases).collect())) == whole and len(whole) == len(set(whole)) > 40
